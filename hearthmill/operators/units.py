@@ -65,6 +65,9 @@ COUNTS = {"one": 1, "two": 2, "three": 3, "four": 4, "six": 6, "twelve": 12}
 #: letters and words that carry no unit inside a unit string: calendar, plural
 FILL = {"c", "calendar", "s", "es", "cal"}
 
+#: marks that make a unit of the letter before them
+_POWERED = ("2", "3", "²", "³", "^")
+
 _SEPARATORS = " .,()[]{}:;-–+*~\"'"
 
 
@@ -127,6 +130,7 @@ class FieldPrior:
     log10_mean: float = 0.0
     log10_sd: float = 3.0
     absent: float = 1.5
+    doubt: float = 1.0
 
 
 RENT_PER_MONTH = FieldPrior(
@@ -183,6 +187,19 @@ def _step(p: _Parse, item: tuple, length: int, alone: bool, first: bool) -> _Par
     return _Parse(cost, p.factor, p.dims, p.sign, p.power, p.scale, p.count, p.last)
 
 
+@lru_cache(maxsize=65536)
+def _is_unit(word: str) -> bool:
+    """Whether a word is made of unit parts with a root of two letters or more, or is a short form such as ``pcm``."""
+    if re.fullmatch(r"p(?:c|p)?[mwadn]", word):
+        return True
+    reach: list[set[bool]] = [set() for _ in range(len(word) + 1)]
+    reach[0] = {False}
+    for i in range(len(word)):
+        for end, (kind, _) in _TRIE.at(word, i) if reach[i] else ():
+            reach[end] |= {root or (kind == "root" and end - i > 1) for root in reach[i]}
+    return True in reach[-1]
+
+
 @lru_cache(maxsize=65536)
 def segment(text: str, beam: int = 12, skip: float = 2.6) -> tuple[_Parse, ...]:
     """The cheapest readings of a unit string, by dynamic programming over its positions."""
@@ -213,7 +230,11 @@ def segment(text: str, beam: int = 12, skip: float = 2.6) -> tuple[_Parse, ...]:
         starts = i == 0 or not (text[i - 1].isalpha() and text[i].isalpha())
         if starts:  # a whole word, or any single mark, may be noise
             end = run.end() if run else i + 1
-            for p in best[i]:
+            # but not what can only be meant as a unit
+            unit = _is_unit(text[i:end]) if run else text[i] in ROOTS or (i > 0 and text[i - 1].isalpha() and text[i] in _POWERED)
+            if run and text[end : end + 1] in _POWERED and text[i:end] in ROOTS:
+                unit = True
+            for p in best[i] if not unit else ():
                 put(end, _Parse(p.cost + skip + (0 if run else 1), p.factor * p.scale, p.dims, 1, 1, 1.0, 1.0, ()))
         digits = re.compile(r"\d+").match(text, i)
         if digits and starts:
@@ -232,7 +253,8 @@ def segment(text: str, beam: int = 12, skip: float = 2.6) -> tuple[_Parse, ...]:
 
 _NUMBER = re.compile(r"\d+(?:[.,'’   ]\d+)*")
 _CURRENCY_BEFORE = re.compile(r"(?:[€£$]|\b(?:eur|euro|gbp|usd))\s*$")
-_RATE_BEFORE = re.compile(r"(?:every|per|each|/)\s*$")
+#: what stands before a number that belongs to the unit: "every 2 weeks", "m2"
+_RATE_BEFORE = re.compile(r"(?:(?:every|per|each|/)\s*|\b(?:[mckd]?m|ft|yd|in)\^?)$")
 
 
 @lru_cache(maxsize=65536)
@@ -246,7 +268,7 @@ def readings(number: str) -> tuple[tuple[float, float], ...]:
     last = max(s.rfind("."), s.rfind(","))
     tail = len(s) - last - 1
     if len(set(marks)) == 2 or len(marks) == 1:  # the last mark may be the decimal one
-        out.append((float(re.sub(r"[.,]", "", s[:last]) + "." + s[last + 1 :]), 0.7 if tail == 3 and len(marks) == 1 else 0.0))
+        out.append((float(re.sub(r"[.,]", "", s[:last]) + "." + s[last + 1 :]), (3.0 if marks[0] == "," else 1.5) if tail == 3 and len(marks) == 1 else 0.0))
     if len(set(marks)) == 1 and all(len(x) == 3 for x in re.split(r"[.,]", s)[1:]) and len(re.split(r"[.,]", s)[0]) <= 3:
         out.append((float(re.sub(r"[.,]", "", s)), 0.3 if marks[0] == "." else 0.0))
     return tuple(out) or ((float(re.sub(r"[.,]", "", s)), 2.0),)
@@ -273,23 +295,24 @@ def amounts(text: str) -> list[tuple[str, str]]:
 def parse_amount(number: str, unit: str, prior: FieldPrior) -> tuple[float, float] | None:
     """(value in the wanted unit, cost) of one amount under a field's prior; null if no reading has its dimension."""
     want, target = dict(prior.dims), dict(prior.target)
-    best: tuple[float, float] | None = None
+    fits = []
     for p in segment(unit):
         dims = dict(p.dims)
-        odd = sum(dims.get(d, 0) != want.get(d, 0) for d in {*dims, *want} if d in dims or d not in prior.assume)
-        if odd:
-            continue
         missing = [d for d in want if d not in dims and d in prior.assume]
-        scale = p.factor
+        if all(dims.get(d, 0) == want.get(d, 0) for d in {*dims, *want} if d not in missing):
+            fits.append((p.cost + prior.absent * len(missing), p.factor, missing))
+    best: tuple[float, float] | None = None
+    for cost, factor, missing in fits:
+        if cost > min(fits)[0] + prior.doubt:
+            continue  # only near ties are settled by magnitude
         for d, e in want.items():
             if d not in missing:
-                scale /= target.get(d, 1.0) ** e
-        for value, cost in readings(number):
-            x = value * scale
+                factor /= target.get(d, 1.0) ** e
+        for value, extra in readings(number):
+            x = value * factor
             size = min(8.0, 0.5 * ((math.log10(x) - prior.log10_mean) / prior.log10_sd) ** 2) if x > 0 else 8.0
-            total = p.cost + cost + prior.absent * len(missing) + size
-            if best is None or total < best[1]:
-                best = (x, total)
+            if best is None or cost + extra + size < best[1]:
+                best = (x, cost + extra + size)
     return best
 
 
