@@ -268,7 +268,7 @@ def readings(number: str) -> tuple[tuple[float, float], ...]:
     last = max(s.rfind("."), s.rfind(","))
     tail = len(s) - last - 1
     if len(set(marks)) == 2 or len(marks) == 1:  # the last mark may be the decimal one
-        out.append((float(re.sub(r"[.,]", "", s[:last]) + "." + s[last + 1 :]), (3.0 if marks[0] == "," else 1.5) if tail == 3 and len(marks) == 1 else 0.0))
+        out.append((float(re.sub(r"[.,]", "", s[:last]) + "." + s[last + 1 :]), (5.0 if marks[0] == "," else 1.5) if tail == 3 and len(marks) == 1 else 0.0))
     if len(set(marks)) == 1 and all(len(x) == 3 for x in re.split(r"[.,]", s)[1:]) and len(re.split(r"[.,]", s)[0]) <= 3:
         out.append((float(re.sub(r"[.,]", "", s)), 0.3 if marks[0] == "." else 0.0))
     return tuple(out) or ((float(re.sub(r"[.,]", "", s)), 2.0),)
