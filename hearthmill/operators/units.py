@@ -252,14 +252,15 @@ def segment(text: str, beam: int = 12, skip: float = 2.6) -> tuple[_Parse, ...]:
 # --- numbers ----------------------------------------------------------------------------------
 
 _NUMBER = re.compile(r"\d+(?:[.,'’   ]\d+)*")
+_SCALE = re.compile(r"^(?:k|m\b|mn\b|bn\b)|thousand|million|billion")
 _CURRENCY_BEFORE = re.compile(r"(?:[€£$]|\b(?:eur|euro|gbp|usd))\s*$")
 #: what stands before a number that belongs to the unit: "every 2 weeks", "m2"
 _RATE_BEFORE = re.compile(r"(?:(?:every|per|each|/)\s*|\b(?:[mckd]?m|ft|yd|in)\^?)$")
 
 
 @lru_cache(maxsize=65536)
-def readings(number: str) -> tuple[tuple[float, float], ...]:
-    """(value, cost) of each way to read a number's separators."""
+def readings(number: str, scaled: bool = False) -> tuple[tuple[float, float], ...]:
+    """(value, cost) of each way to read a number's separators; ``scaled``: a word such as thousand follows."""
     s = re.sub(r"['’   ]", "", number)
     marks = [ch for ch in s if ch in ".,"]
     if not marks:
@@ -267,8 +268,9 @@ def readings(number: str) -> tuple[tuple[float, float], ...]:
     out = []
     last = max(s.rfind("."), s.rfind(","))
     tail = len(s) - last - 1
-    if len(set(marks)) == 2 or len(marks) == 1:  # the last mark may be the decimal one
-        out.append((float(re.sub(r"[.,]", "", s[:last]) + "." + s[last + 1 :]), (5.0 if marks[0] == "," else 1.5) if tail == 3 and len(marks) == 1 else 0.0))
+    # the last mark may be the decimal one; a single comma before three digits only where a scale word follows
+    if len(set(marks)) == 2 or (len(marks) == 1 and (scaled or tail != 3 or marks[0] == ".")):
+        out.append((float(re.sub(r"[.,]", "", s[:last]) + "." + s[last + 1 :]), 1.5 if tail == 3 and len(marks) == 1 and not scaled and marks[0] == "." else 0.0))
     if len(set(marks)) == 1 and all(len(x) == 3 for x in re.split(r"[.,]", s)[1:]) and len(re.split(r"[.,]", s)[0]) <= 3:
         out.append((float(re.sub(r"[.,]", "", s)), 0.3 if marks[0] == "." else 0.0))
     return tuple(out) or ((float(re.sub(r"[.,]", "", s)), 2.0),)
@@ -308,7 +310,7 @@ def parse_amount(number: str, unit: str, prior: FieldPrior) -> tuple[float, floa
         for d, e in want.items():
             if d not in missing:
                 factor /= target.get(d, 1.0) ** e
-        for value, extra in readings(number):
+        for value, extra in readings(number, bool(_SCALE.search(unit))):
             x = value * factor
             size = min(8.0, 0.5 * ((math.log10(x) - prior.log10_mean) / prior.log10_sd) ** 2) if x > 0 else 8.0
             if best is None or cost + extra + size < best[1]:
