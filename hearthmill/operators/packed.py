@@ -147,7 +147,8 @@ def split_values(df: DataFrame, key: str, fields: list[str], source: str | None
     its scan without any shuffle; beyond, Spark joins on source and field and splits
     skewed ones.
     """
-    marks = materialize(infer_delimiters(packed_texts(df, fields, source), candidates), "marks")
+    texts = materialize(packed_texts(df, fields, source), "packed-texts")  # read several times by the scoring
+    marks = materialize(infer_delimiters(texts, candidates), "marks")
     if marks.count() <= broadcast_rows:
         marks = F.broadcast(marks)
     src = F.col(f"`{source}`").cast("string") if source else F.lit(None).cast("string")
