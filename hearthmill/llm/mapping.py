@@ -25,11 +25,13 @@ def plain(text: Column) -> Column:
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
 
 
-def grams(text: Column, q: int = 2) -> Column:
-    """Array of the padded q-grams of a text, each marked with which occurrence of it it is."""
-    s = F.concat(F.lit("^" * (q - 1)), text, F.lit("$" * (q - 1)))
+def gram_sets(df: DataFrame, q: int = 2) -> DataFrame:
+    """(text, g): the padded q-grams of each distinct text, the k-th occurrence of a gram marked with k; null and empty texts left out."""
+    s = F.concat(F.lit("^" * (q - 1)), F.col("text"), F.lit("$" * (q - 1)))
     raw = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - q + 1, F.lit(1))), lambda i: F.substring(s, i, q))
-    return F.transform(raw, lambda g, i: F.concat(g, F.size(F.filter(F.slice(raw, 1, i + 1), lambda x: x == g)).cast("string")))
+    counted = df.select("text").where(F.col("text") != "").distinct().select("text", F.explode(raw).alias("gram")).groupBy("text", "gram").agg(F.count("*").alias("c"))
+    marked = counted.select("text", F.explode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda k: F.concat("gram", k.cast("string")))).alias("t"))
+    return marked.groupBy("text").agg(F.collect_list("t").alias("g"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float, q: int = 2) -> DataFrame:
@@ -38,10 +40,7 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, q: int
     ``left`` and ``right`` have one column ``text``; null and empty texts match nothing.
     """
 
-    def sets(df: DataFrame) -> DataFrame:
-        return df.select("text").where(F.col("text").isNotNull() & (F.col("text") != "")).distinct().withColumn("g", grams(F.col("text"), q))
-
-    a, b = sets(left), sets(right)
+    a, b = gram_sets(left, q), gram_sets(right, q)
     counts = a.select(F.explode("g").alias("t")).unionByName(b.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
 
     def prefixes(df: DataFrame, side: str) -> DataFrame:
@@ -89,7 +88,7 @@ _COUNTRY = ("ireland", "eire")
 
 
 def place_segments(value: Column) -> Column:
-    """Array of the places a typed value names, in order: struct(text without blanks, is_county).
+    """Array of the places a typed value names, in order: struct(text without blanks, bare: without city too, is_county).
 
     Commas, brackets, slashes and spaced hyphens part places; ``(City)`` and
     ``(County)`` belong to the name before them; a country at the end is dropped.
@@ -101,7 +100,13 @@ def place_segments(value: Column) -> Column:
     words = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"[^a-z0-9]+", " ")))
     words = F.filter(words, lambda p: p != "")
     words = F.filter(words, lambda p, i: (i == 0) | ~p.isin(*_COUNTRY))
-    seg = F.transform(words, lambda p: F.struct(F.regexp_replace(F.regexp_replace(p, _IDLE_WORDS, ""), " ", "").alias("text"), p.rlike(_COUNTY_WORDS).alias("is_county")))
+    named = F.transform(words, lambda p: F.struct(F.regexp_replace(p, _IDLE_WORDS, "").alias("name"), p.rlike(_COUNTY_WORDS).alias("is_county")))
+    seg = F.transform(
+        named,
+        lambda s: F.struct(
+            F.regexp_replace(s["name"], " ", "").alias("text"), F.regexp_replace(s["name"], r"\bcity\b| ", "").alias("bare"), s["is_county"].alias("is_county")
+        ),
+    )
     return F.filter(seg, lambda s: s["text"] != "")
 
 
@@ -114,7 +119,9 @@ def map_places(values: DataFrame, reference: DataFrame, threshold: float = 0.2,
     distance, then the smaller id. Values without a letter map to nothing.
     """
     v = values.select("src", "value", "county_only").distinct().withColumn("segs", place_segments(F.col("value")))
-    s = v.select("src", "value", "county_only", F.posexplode("segs").alias("pos", "seg")).select("src", "value", "county_only", "pos", "seg.text", "seg.is_county")
+    s = v.select("src", "value", "county_only", F.posexplode("segs").alias("pos", "seg")).select(
+        "src", "value", "county_only", "pos", F.when(F.col("county_only"), F.col("seg.bare")).otherwise(F.col("seg.text")).alias("text"), "seg.is_county"
+    )
     s = s.where(F.col("county_only") | (F.col("pos") == 0))
     ref = reference.select("location_id", "kind", F.explode(place_segments(F.col("canonical_name"))).alias("seg")).select("location_id", "kind", F.col("seg.text").alias("right_text"))
     pairs = similarity_join(s.select("text"), ref.select(F.col("right_text").alias("text")), threshold, q)

@@ -156,8 +156,10 @@ def _reveal(df: DataFrame, groups: list[str], schema: T.StructType) -> DataFrame
 def sketches(df: DataFrame, groups: list[str], value: str, k: int = DEFAULT_K, high: bool = True) -> DataFrame:
     """One sketch for each group: (group columns, n, sketch). Null and NaN values are left out; a null group is a group.
 
-    An empty input gives no rows.
+    An empty input gives no rows. Group columns may not be called n or sketch.
     """
+    if {"n", "sketch", "__g"} & set(groups):
+        raise ValueError("group columns may not be called n, sketch or __g")
     flat = df.select(_key(groups).alias("__g"), F.col(f"`{value}`").cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
