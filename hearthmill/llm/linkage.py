@@ -83,24 +83,22 @@ class Weights:
         return total
 
 
-def learn_weights(rows: DataFrame, fields: list[str], floor: float = 1e-6) -> Weights:
+def learn_weights(rows: DataFrame, bins: DataFrame, fields: list[str], floor: float = 1e-6) -> Weights:
     """Weights log2(m / u): m is how often a field agrees throughout a block, u how often it would by chance.
 
-    Both are counted over all rows: m over (key, bin) blocks of two rows or more, u as
-    the chance that two random rows share a value. One aggregation each; nothing is sampled.
+    Both are counted over all rows: m over (key, bin) blocks of two rows or more (``bins`` has ``n`` and a
+    flag for each field), u as the chance that two random rows share a value. Nothing is sampled.
     """
     if not fields:
         return Weights()
-    block = rows.groupBy("pid", "bin").agg(
-        F.count("*").alias("n"), *[(F.min(f"who.{f}").eqNullSafe(F.max(f"who.{f}")) & F.min(f"who.{f}").isNotNull()).alias(f) for f in fields]
-    )
-    m = block.where("n > 1").agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in fields]).first()
+    m = bins.where("n > 1").agg(*[F.avg(F.col(f"same_{f}").cast("double")).alias(f) for f in fields]).first()
+    cells = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"who.`{f}`").cast("string").alias("v")) for f in fields])
+    counts = rows.select(F.inline(cells)).where("v IS NOT NULL").groupBy("f", "v").agg(F.count("*").cast("double").alias("c"))
+    u = {r.f: r.u for r in counts.groupBy("f").agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), 2)).alias("u")).collect()}  # a row for each field
     w = Weights()
     for f in fields:
-        counts = rows.where(F.col(f"who.{f}").isNotNull()).groupBy(F.col(f"who.{f}").alias("v")).agg(F.count("*").cast("double").alias("c"))
-        u = counts.agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), 2)).alias("u")).first()["u"]
         p = min(max(m[f] if m[f] is not None else 0.9, floor), 1 - 1e-3)
-        q = min(max(u if u is not None else 0.1, floor), 1 - 1e-3)
+        q = min(max(u.get(f, 0.1), floor), 1 - 1e-3)
         w.agree[f], w.differ[f] = math.log2(p / q), math.log2((1 - p) / (1 - q))
     return w
 
@@ -179,10 +177,14 @@ class Linker:
 
     def bootstrap(self, rows: DataFrame) -> Linker:
         """Take the history (rows as made by :func:`keyed`)."""
-        bins = materialize(self._bins(rows), "history-bins")
+        rows = materialize(rows, "history-rows")  # parsed once, read for the blocks and for the weights
+        same = [(F.min(f"who.`{f}`").eqNullSafe(F.max(f"who.`{f}`")) & F.min(f"who.`{f}`").isNotNull()).alias(f"same_{f}") for f in self.compared]
+        bins = materialize(
+            rows.groupBy("pid", "bin").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.min("who").alias("who"), F.count("*").alias("n"), *same), "history-bins"
+        )
         self.buckets = max(1, min(4096, bins.count() // self.rows_per_bucket + 1))
         if self.learn:
-            self.weights = learn_weights(rows, self.compared)
+            self.weights = learn_weights(rows, bins, self.compared)
         self._append(self._chain(bins).select("pid", "bin", "lo", "hi", "rep", F.col("rep").alias("old")))
         return self
 
