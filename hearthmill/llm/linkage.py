@@ -4,8 +4,9 @@ State is a pair of append-only tables in the shared folder:
 
 ``blocks``  blocking-key table: for each entity key and day of its event time, the
             first and last moment seen there and the representative of its cluster.
-            Partitioned by a hash bucket of the key; a batch reads the buckets of
-            its own keys only.
+            Partitioned by span of event time and hash bucket of the key; a batch reads
+            the partitions of its own keys and moments only, so that its cost follows
+            what was published near its moments, not how long the history is.
 ``reps``    union-find mappings: which representative a former one was merged into.
 
 Both are read with minima and maxima only, so an append repeated by a retried
@@ -110,8 +111,8 @@ class Linker:
     their order) and returns its repeats: (first_id, dup_id, score).
     """
 
-    def __init__(self, spark: SparkSession, compared: list[str], gap: int = DAY_MS, rows_per_bucket: int = 500_000, learn: bool = True) -> None:
-        self.spark, self.compared, self.gap, self.rows_per_bucket, self.learn = spark, compared, gap, rows_per_bucket, learn
+    def __init__(self, spark: SparkSession, compared: list[str], gap: int = DAY_MS, rows_per_bucket: int = 500_000, span_bins: int = 32, learn: bool = True) -> None:
+        self.spark, self.compared, self.gap, self.rows_per_bucket, self.span_bins, self.learn = spark, compared, gap, rows_per_bucket, span_bins, learn
         self.root = new_path(spark, "linker")
         self.buckets, self.generation, self.merges = 1, 0, 0
         self.weights = Weights()
@@ -123,12 +124,15 @@ class Linker:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("pid"), F.lit(self.buckets)).cast("int")
 
+    def _span(self) -> Column:
+        return F.floor(F.col("bin") / self.span_bins).cast("int")
+
     def _append(self, chains: DataFrame) -> DataFrame:
         """Write one generation of block rows and return it as read back."""
         path = f"{self.root}/blocks/generation={self.generation:06d}"
-        df = chains.withColumn("bucket", self._bucket())
+        df = chains.withColumn("span", self._span()).withColumn("bucket", self._bucket())
         self._schema = df.schema
-        df.repartition(min(self.buckets, 64), "bucket").sortWithinPartitions("bucket", "pid", "bin").write.partitionBy("bucket").parquet(path)
+        df.repartition("span", "bucket").sortWithinPartitions("span", "bucket", "pid", "bin").write.partitionBy("span", "bucket").parquet(path)
         self.generation += 1
         self._deltas.append(path)
         return self._read([path])
@@ -192,14 +196,14 @@ class Linker:
         """Hold a batch against everything accepted before, then accept it.
 
         Of rows in the batch itself the earliest counts as accepted before the others.
-        Reads the buckets of the batch's keys, touches the clusters of those keys only.
+        Reads the partitions of the batch's keys and moments, touches the clusters of those keys only.
         """
+        rows = materialize(rows, "batch")
         mine = self._bins(rows)
         probe = mine.select("pid", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
-        blocks = self._read(self._deltas)
-        if self.buckets > 16:
-            touched = [r[0] for r in mine.select(self._bucket().alias("b")).distinct().collect()]  # at most as many as buckets
-            blocks = blocks.where(F.col("bucket").isin(touched))
+        # at most as many rows as the block table has partitions
+        touched = rows.select(self._bucket().alias("b"), F.explode(F.array(F.col("bin") - 1, F.col("bin") + 1)).alias("bin")).select("b", self._span().alias("s")).distinct().collect()
+        blocks = self._read(self._deltas).where(F.col("span").isin(sorted({r.s for r in touched})) & F.col("bucket").isin(sorted({r.b for r in touched})))
         hits = blocks.join(probe, ["pid", "bin"]).groupBy("pid", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("rep").alias("rep"))
         hits = self._resolve(hits)
         both = mine.select("pid", "bin", "lo", "hi", "who", F.lit(None).cast(rows.schema["who"].dataType).alias("old")).unionByName(
