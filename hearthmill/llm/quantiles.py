@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 SECTIONS = 3
 DEFAULT_K = 64
-#: values that a task keeps before it emits what it has
+#: values, and groups, that a task keeps before it emits what it has
 FLUSH_VALUES = 2_000_000
+FLUSH_GROUPS = 50_000
 
 
 def capacity(k: int = DEFAULT_K) -> int:
@@ -183,7 +184,7 @@ def sketches(df: DataFrame, groups: list[str], value: str, k: int = DEFAULT_K, h
                     s = held[name] = Sketch(k, high)
                 s.update(values[part])
             kept += b.num_rows
-            if kept > FLUSH_VALUES:
+            if kept > FLUSH_VALUES or len(held) > FLUSH_GROUPS:
                 yield emit()
                 held.clear()
                 kept = 0
