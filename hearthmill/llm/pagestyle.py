@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthmill.session import materialize
+
 # fixed values: closed-class words of English, French, German and Spanish, by group
 FUNCTION_WORDS = {
     "D": "the a an this that these those my your his her its our their each every any some no all both such"
@@ -56,9 +58,9 @@ CLASSES = "DPRAC" + "cNKUHEMX" + "^"
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
 _TOKEN = re.compile(
-    r"(?P<U>(?:https?://|www\.)\S+)|(?P<H>#\w+)|(?P<K>\w*[^\W\d_]\w*-?\d\w*)|(?P<N>[€$£]?\d[\d.,]*)"
-    r"|(?P<W>[^\W\d_]+(?:['’][^\W\d_]+)*)|(?P<E>[.!?]+)|(?P<M>,)|(?P<L>\n)|(?P<X>[^\s\w])",
-    re.IGNORECASE,
+    # plain words come early, as most tokens are; one with a digit or a hyphenated number behind it is a code
+    r"(?P<U>(?i:https?://|www\.)\S+)|(?P<W>[^\W\d_]+(?:['’][^\W\d_]+)*)(?!\w|-\d)|(?P<L>\n)|(?P<M>,)|(?P<E>[.!?]+)"
+    r"|(?P<H>#\w+)|(?P<K>\w*[^\W\d_]\w*-?\d\w*)|(?P<N>[€$£]?\d[\d.,]*)|(?P<X>[^\s\w])"
 )
 
 
@@ -68,7 +70,7 @@ def sentences(text: str, near: int = 25, near_pair: int = 40) -> list[tuple[int,
     ``repeats`` has a letter for each class: r a content word used within the last ``near``
     content words, b a part of a word pair used within the last ``near_pair`` tokens, - neither.
     """
-    plain = _TAG.sub(lambda m: " " * len(m[0]), text)
+    plain = _TAG.sub(lambda m: " " * len(m[0]), text) if "<" in text else text
     out: list[tuple[int, str, str]] = []
     classes: list[str] = []
     marks: list[str] = []
@@ -119,7 +121,7 @@ def sentences(text: str, near: int = 25, near_pair: int = 40) -> list[tuple[int,
 
 def is_prose(classes: str) -> bool:
     """Sentences the model is trained on: five words or more, a quarter of them function words, ended like a sentence."""
-    function = sum(c in "DPRAC" for c in classes)
+    function = sum(map(classes.count, "DPRAC"))
     words = function + classes.count("c")
     return words >= 5 and function >= 0.25 * words and classes[-1] == "E"
 
@@ -159,15 +161,22 @@ class ProseModel:
     def surprise(self, classes: str, marks: str) -> float:
         """Sum over the tokens of a sentence, in nats."""
         n, padded = self.order, "^" * (self.order - 1) + classes
-        total = sum(self._cost(padded[i : i + n]) for i in range(len(classes)))
-        for c, x in zip(classes, marks, strict=True):
-            if c in "DPRACc":
-                total += self.repeat[("c" if c == "c" else "f") + x]
+        cost = self._cost
+        total = sum([cost(padded[i : i + n]) for i in range(len(classes))])
+        repeat = self.repeat
+        total += repeat["c-"] * classes.count("c") + repeat["f-"] * sum(map(classes.count, "DPRAC"))
+        if marks.count("-") < len(marks):
+            for c, x in zip(classes, marks, strict=True):
+                if x != "-" and c in "DPRACc":
+                    kind = "c" if c == "c" else "f"
+                    total += repeat[kind + x] - repeat[kind + "-"]
         return total
 
     def odd_share(self, text: str, low: float, high: float, short: int = 8) -> float:
         """Share of a text's characters in sentences of abnormal surprise; a short sentence is scored with its neighbours."""
-        s = sentences(text)
+        return self.odd_share_of(sentences(text), len(text), low, high, short)
+
+    def odd_share_of(self, s: list[tuple[int, str, str]], length: int, low: float, high: float, short: int = 8) -> float:
         scored = [(n, len(c), self.surprise(c, m)) for n, c, m in s]
         odd = 0
         for i, (chars, n, total) in enumerate(scored):
@@ -176,28 +185,56 @@ class ProseModel:
                 n, total = sum(x[1] for x in around), sum(x[2] for x in around)
             if not low <= total / n <= high:
                 odd += chars
-        return odd / len(text) if text else 0.0
+        return odd / length if length else 0.0
+
+
+def _pack(s: list[tuple[int, str, str]]) -> str:
+    return "\n".join([f"{n}\t{c}\t{m}" for n, c, m in s])
+
+
+def _unpack(t: str) -> list[tuple[int, str, str]]:
+    return [(int(n), c, m) for n, c, m in (x.split("\t") for x in t.split("\n"))] if t else []
+
+
+def decompose(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, length, parts): each text that is not empty as its packed sentences, about two bytes for each token."""
+    schema = docs.select(key).schema.add("length", "long").add("parts", "string")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([_pack(sentences(t)) for t in texts], pa.string())], names=[key, "length", "parts"])
+
+    return docs.select(key, text).where(F.length(text) > 0).mapInArrow(split, schema)
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> ProseModel:
-    """The model of all prose sentences in ``docs``. What is collected is the class n-gram table, bounded by the classes."""
+    """The model of all prose sentences in ``docs``; see :func:`train_on`."""
+    return train_on(decompose(docs.select(F.lit(0).alias("k"), text), "k", text), order)
+
+
+def train_on(parts: DataFrame, order: int = ORDER) -> ProseModel:
+    """The model of all prose sentences of decomposed texts. What is collected is the class n-gram table, bounded by the classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: Counter[str] = Counter()
-        repeats: Counter[str] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                for _, classes, marks in sentences(t):
+                for _, classes, marks in _unpack(t):
                     if is_prose(classes):
                         padded = "^" * (order - 1) + classes
-                        grams.update(padded[i : i + order] for i in range(len(classes)))
-                        repeats.update(("c" if c == "c" else "f") + x for c, x in zip(classes, marks, strict=True) if c in "DPRACc")
+                        grams.update([padded[i : i + order] for i in range(len(classes))])
+                        pairs.update(zip(classes, marks, strict=True))
+        repeats: Counter[str] = Counter()
+        for (c, x), n in pairs.items():
+            if c in "DPRACc":
+                repeats[("c" if c == "c" else "f") + x] += n
         both = [("g", k, n) for k, n in grams.items()] + [("r", k, n) for k, n in repeats.items()]
         if both:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*both, strict=True)], names=["what", "k", "n"])
 
-    flat = docs.select(text).where(F.length(text) > 0)
-    table = flat.mapInArrow(count, "what string, k string, n long").groupBy("what", "k").agg(F.sum("n").alias("n")).collect()
+    table = parts.select("parts").mapInArrow(count, "what string, k string, n long").groupBy("what", "k").agg(F.sum("n").alias("n")).collect()
     return ProseModel({r.k: r.n for r in table if r.what == "g"}, {r.k: r.n for r in table if r.what == "r"}, order)
 
 
@@ -207,13 +244,15 @@ def odd_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", low: flo
     ``low`` and ``high`` bound the mean surprise of prose in nats for each token. Null and
     empty texts have no row; a text without any token has share 0.
     """
-    model = model or train(docs, text)
+    parts = materialize(decompose(docs, key, text), "sentences")  # tokenized once, read by the training and by the scoring
+    model = model or train_on(parts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(key).schema.add("odd_share", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.odd_share(t, low, high) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "odd_share"])
+            shares = [m.odd_share_of(_unpack(t), n, low, high) for n, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.float64())], names=[key, "odd_share"])
 
-    return docs.select(key, text).where(F.length(text) > 0).mapInArrow(score, schema)
+    return parts.mapInArrow(score, schema)
