@@ -137,7 +137,11 @@ def history(df: DataFrame, entity: str, at: str, order: str, attributes: list[st
 
 
 def as_of(stored: DataFrame, moment: Column, attributes: list[str], entity: str = "entity") -> DataFrame:
-    """Each entity's version at ``moment``: only the checkpoint nearest before it and the patches since are folded."""
+    """Each entity's version at ``moment``: only the checkpoint nearest before it and the patches since are folded.
+
+    ``valid_from`` and ``opening`` are those of the last stored row, which is a checkpoint where a chunk began since the change.
+    Entities not seen by then have no row.
+    """
     upto = stored.where(F.col("at") <= moment)
     chunk = upto.groupBy("entity").agg(F.max("chunk").alias("chunk"))
     s = fold(upto.join(chunk, ["entity", "chunk"]), attributes)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import MapType
 
 BROADCAST_ROWS = 1_000_000
 
@@ -136,7 +137,8 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "i
 
     ``hot``: the hot keys (columns ``keys``); found by counting where not given (keys with more than
     1/(4 * salts) of the rows, so there are at most 4 * salts of them). Only their rows in ``other`` are
-    repeated, once for each salt. Inner and left joins; null keys match nothing.
+    repeated, once for each salt. Inner and left joins; null keys match nothing. A row's salt is a hash
+    of the row, so a task that is run again spreads its rows in the same way.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join takes inner and left joins")
@@ -144,8 +146,9 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "i
         counts = big.groupBy(*keys).agg(F.count("*").alias("__n"))
         total = counts.agg(F.sum("__n").alias("__t"))
         hot = counts.join(F.broadcast(total)).where(F.col("__n") * (4 * salts) > F.col("__t")).select(*keys)
+    spread = [F.col(f"`{f.name}`") for f in big.schema if not isinstance(f.dataType, MapType)]
     h = F.broadcast(hot.select(*keys).distinct().withColumn("__hot", F.lit(True)))
-    b = big.join(h, keys, "left").withColumn("__salt", F.when(F.col("__hot"), (F.rand(7) * salts).cast("int")).otherwise(0)).drop("__hot")
+    b = big.join(h, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
     o = other.join(h, keys, "left")
     o = o.withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return b.join(o, [*keys, "__salt"], how).drop("__salt")

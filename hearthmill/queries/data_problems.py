@@ -140,3 +140,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 def p7_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Validity rows: each price with the time from which it held until the next one began."""
     return _listing_history(spark, sf).select("property_id", "version_no", "valid_from", "valid_to", "price")
+
+
+@_query("p7_as_of", _VERSIONS_SQL + "SELECT property_id, price FROM v WHERE valid_from <= TIMESTAMP '2025-04-01' AND (valid_to > TIMESTAMP '2025-04-01' OR valid_to IS NULL)")
+def p7_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Each property's price at a moment, from the nearest checkpoint and the patches since."""
+    df = table(spark, sf, "raw_daft_listings").select("property_id", "scraped_at", "id", "price").where("price IS NOT NULL")
+    stored = history.store(df, "property_id", "scraped_at", "id", ["price"])
+    return history.as_of(stored, F.lit("2025-04-01").cast("timestamp_ntz"), ["price"], "property_id").select("property_id", "price")
