@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from hearthmill.session import materialize, new_path
@@ -116,7 +117,7 @@ class Linker:
         self.root = new_path(spark, "linker")
         self.buckets, self.generation, self.merges = 1, 0, 0
         self.weights = Weights()
-        self._schema = None
+        self._schema = self._rows_schema = None
         self._deltas: list[str] = []
 
     # --- state
@@ -155,7 +156,6 @@ class Linker:
             .select(F.col("old.stage").alias("old_stage"), F.col("old.id").alias("old_id"), F.col("rep").alias("new"))
             .distinct()
         )
-        new = materialize(new, "merges")
         if new.isEmpty():
             return
         path = f"{self.root}/reps"
@@ -198,7 +198,10 @@ class Linker:
         Of rows in the batch itself the earliest counts as accepted before the others.
         Reads the partitions of the batch's keys and moments, touches the clusters of those keys only.
         """
-        rows = materialize(rows, "batch")
+        self._rows_schema = rows.schema
+        kept = f"{self.root}/rows/generation={self.generation:06d}"
+        rows.write.parquet(kept)
+        rows = self.spark.read.schema(self._rows_schema).parquet(kept)
         mine = self._bins(rows)
         probe = mine.select("pid", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
         # at most as many rows as the block table has partitions
@@ -212,6 +215,16 @@ class Linker:
         bins = both.groupBy("pid", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("who").alias("who"), F.min("old").alias("old"))
         delta = self._append(self._chain(bins).select("pid", "bin", "lo", "hi", "rep", "old"))
         self._remember(delta)
-        found = rows.join(delta.select("pid", "bin", "rep"), ["pid", "bin"]).where("who.stage <> rep.stage OR who.id <> rep.id")
-        links = found.select(F.col("rep.id").alias("first_id"), F.col("who.id").alias("dup_id"), self.weights.score("rep", "who").alias("score"))
-        return materialize(links, "links")
+        return self._links(rows, delta, [])
+
+    def links(self) -> DataFrame:
+        """The repeats of all batches accepted so far, from their stored rows and block rows in one join."""
+        if self._rows_schema is None:
+            return self.spark.createDataFrame([], "first_id bigint, dup_id bigint, score double")
+        rows = self.spark.read.schema(T.StructType([*self._rows_schema, T.StructField("generation", T.IntegerType())])).parquet(f"{self.root}/rows")
+        return self._links(rows, self._read(self._deltas[1:]), ["generation"])
+
+    def _links(self, rows: DataFrame, delta: DataFrame, also: list[str]) -> DataFrame:
+        on = [*also, "pid", "bin"]
+        found = rows.join(delta.select(*on, "rep"), on).where("who.stage <> rep.stage OR who.id <> rep.id")
+        return found.select(F.col("rep.id").alias("first_id"), F.col("who.id").alias("dup_id"), self.weights.score("rep", "who").alias("score"))

@@ -99,12 +99,10 @@ def _arrival_links(spark: SparkSession, sf: str) -> DataFrame:
     linker = linkage.Linker(spark, ["price", "county", "title"])
     linker.bootstrap(_linkable(table(spark, sf, "raw_daft_listings").select(*cols), F.lit(0)))
     arrivals = table(spark, sf, "listing_arrivals").select("batch_no", *cols)
-    found = None
     for no in [r[0] for r in arrivals.select("batch_no").distinct().orderBy("batch_no").collect()]:  # one number for each batch
         batch = arrivals.where(F.col("batch_no") == no) if no is not None else arrivals.where("batch_no IS NULL")
-        links = linker.accept(_linkable(batch, F.coalesce(F.col("batch_no"), F.lit(0)) + 1))
-        found = links if found is None else found.unionByName(links)
-    return found if found is not None else spark.createDataFrame([], "first_id bigint, dup_id bigint, score double")
+        linker.accept(_linkable(batch, F.coalesce(F.col("batch_no"), F.lit(0)) + 1))
+    return linker.links()
 
 
 _REPEATS_SQL = r"""
