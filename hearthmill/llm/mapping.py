@@ -115,8 +115,8 @@ def map_places(values: DataFrame, reference: DataFrame, threshold: float = 0.2,
 
     ``values`` (src, value, county_only): a value of a ``county_only`` column always means
     an entry of kind county, whichever place of it names one; else the first place named is
-    meant. ``reference`` (location_id, canonical_name, kind). Ties go to the smaller edit
-    distance, then the smaller id. Values without a letter map to nothing.
+    meant. ``reference`` (location_id, canonical_name, kind). The best entry has the greatest
+    similarity less a tenth for each edit; ties go to the smaller id. Values without a letter map to nothing.
     """
     v = values.select("src", "value", "county_only").distinct().withColumn("segs", place_segments(F.col("value")))
     s = v.select("src", "value", "county_only", F.posexplode("segs").alias("pos", "seg")).select(
@@ -129,7 +129,7 @@ def map_places(values: DataFrame, reference: DataFrame, threshold: float = 0.2,
     named = s.join(pairs, s["text"] == pairs["left_text"]).join(ref, "right_text")
     named = named.where(~(F.col("county_only") | F.col("is_county")) | (F.col("kind") == "county"))
     rank = F.struct(
-        F.when(F.col("is_county"), 0).otherwise(1).alias("flag"), (-F.col("jaccard")).alias("j"), "d", "location_id", F.col("jaccard").alias("jaccard")
+        F.when(F.col("is_county"), 0).otherwise(1).alias("flag"), (F.col("d") * 0.1 - F.col("jaccard")).alias("far"), "location_id", F.col("jaccard").alias("jaccard")
     )
     best = named.groupBy("src", "value").agg(F.min(rank).alias("best"))
     return (
