@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthmill.session import ship
+
 # --- vocabulary -------------------------------------------------------------------------------
 
 #: multipliers that may stand before a root or right after a number
@@ -346,6 +348,7 @@ def to_common_unit(text: Column, prior: FieldPrior) -> Column:
 
 def with_common_unit(df: DataFrame, text: str, out: str, prior: FieldPrior = RENT_PER_MONTH) -> DataFrame:
     """``df`` with ``out``: the quantity written in column ``text``, in the field's common unit."""
+    ship(df.sparkSession)
     return df.withColumn(out, to_common_unit(F.col(text), prior))
 
 

@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +36,29 @@ def build_session(app: str = "hearthmill", master: str = "local[*]", shuffle_par
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors, once for each application.
+
+    Python workers import it to run the Arrow functions; they need not have it installed or on
+    their path. The archive lies in the driver's temporary folder only until Spark has taken it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_hearthmill_shipped", None) == sc.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="hearthmill-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "hearthmill_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._hearthmill_shipped = sc.applicationId
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``root`` (a file or a folder of parts)."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
