@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthmill.session import ship
+
 _BREAK = r"(?:­|​|[-‐][ \t]*\r?\n\s*)"
 #: a word, broken over lines or not, or markup to skip (inline tags inside a word are not looked for)
 _TOKEN = re.compile(rf"<[^<>]{{1,300}}>|&(?:[a-zA-Z]{{2,8}}|#\d{{1,6}});|[^\W_]+(?:{_BREAK}[^\W_]+)*")
@@ -143,6 +145,7 @@ def leaks(
     One row for each passage. Null and empty texts hold nothing; an item without words
     is never found; items shorter than ``n`` words are looked up whole.
     """
+    ship(docs.sparkSession)
     flat = docs.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).where(F.length("t") > 0)
     parts = []
     for block in _blocks(items, item_key, text, block_words):

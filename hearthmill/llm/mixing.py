@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hearthmill.session import materialize
+from hearthmill.session import materialize, ship
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the published splitting pattern of this byte-level vocabulary
@@ -45,6 +45,7 @@ def _encoder(path: str):
 
 def token_counts(docs: DataFrame, key: str, text: str, keep: list[str], path: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(key, kept columns, n_tokens) of every document; null and empty texts have 0 tokens. Whole texts are counted."""
+    ship(docs.sparkSession)
     flat = docs.select(F.col(key).alias(key), *keep, F.col(text).alias("__text"))
     names = [key, *keep]
     schema = docs.select(*names).schema.add("n_tokens", "long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthmill.session import materialize
+from hearthmill.session import materialize, ship
 
 # fixed values: closed-class words of English, French, German and Spanish, by group
 FUNCTION_WORDS = {
@@ -198,6 +198,7 @@ def _unpack(t: str) -> list[tuple[int, str, str]]:
 
 def decompose(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, length, parts): each text that is not empty as its packed sentences, about two bytes for each token."""
+    ship(docs.sparkSession)
     schema = docs.select(key).schema.add("length", "long").add("parts", "string")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
