@@ -15,13 +15,21 @@ from hearthmill.session import table
 query = Named()
 QUERIES, SQL = query.QUERIES, query.SQL
 
+
+
+def _mean(money: str):
+    """Mean of an amount in whole cents: the sum is exact, so engines agree on every digit."""
+    cents = F.sum(F.round(F.col(money) * 100).cast("long")).cast("double")
+    return cents / F.count(money) / 100
+
+
 # --- flagship ---------------------------------------------------------------------------------
 
 
 @query(
     "q_value_by_nation",
     """
-SELECT n_name AS nation, count(*) AS n_orders, round(CAST(avg(o_totalprice) AS DOUBLE), 5) AS avg_price,
+SELECT n_name AS nation, count(*) AS n_orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 AS avg_price,
        round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS median_price
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
 """,
@@ -32,7 +40,7 @@ def value_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     return (
         o.join(c, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("n_name").alias("nation"))
-        .agg(F.count("*").alias("n_orders"), F.round(F.avg("o_totalprice"), 5).alias("avg_price"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("median_price"))
+        .agg(F.count("*").alias("n_orders"), _mean("o_totalprice").alias("avg_price"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("median_price"))
         .orderBy(F.desc("avg_price"))
     )
 
@@ -215,9 +223,9 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("r_name", "n_name").agg(F.count("*").alias("n"))
 
 
-@query("q_constant_row", "SELECT n_name, (SELECT round(CAST(avg(o_totalprice) AS DOUBLE), 5) FROM orders) AS overall, (SELECT r_name FROM region WHERE r_regionkey = 0) AS first_region FROM nation")
+@query("q_constant_row", "SELECT n_name, (SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 FROM orders) AS overall, (SELECT r_name FROM region WHERE r_regionkey = 0) AS first_region FROM nation")
 def constant_row(spark: SparkSession, sf: str) -> DataFrame:
-    one = table(spark, sf, "orders").agg(F.round(F.avg("o_totalprice"), 5).alias("overall"))
+    one = table(spark, sf, "orders").agg(_mean("o_totalprice").alias("overall"))
     first = table(spark, sf, "region").where("r_regionkey = 0").select(F.col("r_name").alias("first_region"))
     return R.with_constant_row(R.with_constant_row(table(spark, sf, "nation").select("n_name"), one), first)
 
@@ -236,7 +244,7 @@ def salted_join(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q_market_summary",
     """
-SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, c_mktsegment AS segment, count(*) AS n, round(CAST(avg(o_totalprice) AS DOUBLE), 5) AS avg_price,
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, c_mktsegment AS segment, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 AS avg_price,
   min(o_totalprice) AS min_price, max(o_totalprice) AS max_price, round(stddev_samp(o_totalprice), 3) AS sd_price,
   round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS median_price,
   count(*) FILTER (o_orderstatus = 'F') AS n_f, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent,
@@ -249,7 +257,7 @@ def market_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("o_totalprice")
     return o.groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("c_mktsegment").alias("segment")).agg(
         F.count("*").alias("n"),
-        F.round(F.avg(p), 5).alias("avg_price"),
+        _mean("o_totalprice").alias("avg_price"),
         F.min(p).alias("min_price"),
         F.max(p).alias("max_price"),
         F.round(F.stddev_samp(p), 3).alias("sd_price"),
@@ -343,34 +351,34 @@ def listagg(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q_yoy",
     """
-WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus AS s, round(CAST(avg(o_totalprice) AS DOUBLE), 5) AS v FROM orders GROUP BY 1, 2)
+WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus AS s, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 AS v FROM orders GROUP BY 1, 2)
 SELECT y, s, v, lag(v) OVER w AS yoy_before, round(v - lag(v) OVER w, 4) AS yoy_change, round((v - lag(v) OVER w) / nullif(lag(v) OVER w, 0) * 100, 4) AS yoy_pct FROM y WINDOW w AS (PARTITION BY s ORDER BY y)
 """,
 )
 def yoy(spark: SparkSession, sf: str) -> DataFrame:
-    y = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("s")).agg(F.round(F.avg("o_totalprice"), 5).alias("v"))
+    y = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("s")).agg(_mean("o_totalprice").alias("v"))
     return R.period_change(y, ["s"], "y", "v", {"yoy": 1}).withColumn("yoy_change", F.round("yoy_change", 4)).withColumn("yoy_pct", F.round("yoy_pct", 4))
 
 
 @query(
     "q_mom_yoy_trend",
     """
-WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS p, round(CAST(avg(o_totalprice) AS DOUBLE), 5) AS v FROM orders GROUP BY 1, 2),
+WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS p, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 AS v FROM orders GROUP BY 1, 2),
 l AS (SELECT *, lag(v) OVER w AS a, lag(v, 12) OVER w AS b FROM m WINDOW w AS (PARTITION BY p ORDER BY month)),
 q AS (SELECT *, (v - a) / nullif(a, 0) * 100 AS mp, (v - b) / nullif(b, 0) * 100 AS yp FROM l)
 SELECT month, p, v, round(mp, 4) AS mom_pct, round(yp, 4) AS yoy_pct, CASE WHEN mp > 5 THEN 'Strong Up' WHEN mp < -5 THEN 'Strong Down' WHEN mp > 1 THEN 'Up' WHEN mp < -1 THEN 'Down' ELSE 'Stable' END AS trend FROM q
 """,
 )
 def mom_yoy_trend(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_orderpriority").alias("p")).agg(F.round(F.avg("o_totalprice"), 5).alias("v"))
+    m = table(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_orderpriority").alias("p")).agg(_mean("o_totalprice").alias("v"))
     c = R.period_change(m, ["p"], "month", "v", {"mom": 1, "yoy": 12})
     return c.select("month", "p", "v", F.round("mom_pct", 4).alias("mom_pct"), F.round("yoy_pct", 4).alias("yoy_pct"), rules.trend(F.col("mom_pct"), [(5, "Strong"), (1, "")], "Stable").alias("trend"))
 
 
-@query("q_lag_of_average", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, round(CAST(avg(o_totalprice) AS DOUBLE), 5) AS v, lag(round(CAST(avg(o_totalprice) AS DOUBLE), 5)) OVER (ORDER BY year(o_orderdate)) AS before FROM orders GROUP BY year(o_orderdate)")
+@query("q_lag_of_average", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 AS v, lag(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100) OVER (ORDER BY year(o_orderdate)) AS before FROM orders GROUP BY year(o_orderdate)")
 def lag_of_average(spark: SparkSession, sf: str) -> DataFrame:
     """One short series without keys: a row for each year, so one task is enough."""
-    y = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.round(F.avg("o_totalprice"), 5).alias("v"))
+    y = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(_mean("o_totalprice").alias("v"))
     return y.select("y", "v", F.lag("v").over(W.orderBy("y")).alias("before"))
 
 
@@ -400,7 +408,7 @@ def top_report(spark: SparkSession, sf: str) -> DataFrame:
     "q_kpi_dashboard",
     """
 WITH m AS (
-  SELECT c_nationkey AS k, date_trunc('month', o_orderdate) AS month, count(*) AS n, round(CAST(avg(o_totalprice) AS DOUBLE), 5) AS v
+  SELECT c_nationkey AS k, date_trunc('month', o_orderdate) AS month, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 AS v
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
 l AS (SELECT *, lag(v) OVER (PARTITION BY k ORDER BY month) AS before FROM m)
 SELECT n_name AS nation, l.n, l.v, round((l.v - before) / nullif(before, 0) * 100, 4) AS change_pct, s.suppliers
@@ -411,7 +419,7 @@ LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctb
 def kpi_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     """Latest month of each nation with its change and a side measure pre-filtered before a left join."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), F.col("c_custkey") == F.col("o_custkey"))
-    m = o.groupBy("k", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 5).alias("v"))
+    m = o.groupBy("k", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.count("*").alias("n"), _mean("o_totalprice").alias("v"))
     latest = R.at_latest(R.period_change(m, ["k"], "month", "v", {"m": 1}), "month")
     side = table(spark, sf, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
     named = latest.join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("nation")), "k")
@@ -421,16 +429,16 @@ def kpi_dashboard(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q_affordability",
     """
-WITH q AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, round(CAST(avg(o_totalprice) AS DOUBLE), 5) AS price FROM orders GROUP BY 1),
-y AS (SELECT CAST(1995 + c_nationkey % 5 AS INTEGER) AS y, round(CAST(avg(c_acctbal) AS DOUBLE), 5) AS income FROM customer WHERE c_acctbal > 0 GROUP BY 1),
+WITH q AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(o_totalprice) / 100 AS price FROM orders GROUP BY 1),
+y AS (SELECT CAST(1995 + c_nationkey % 5 AS INTEGER) AS y, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(c_acctbal) / 100 AS income FROM customer WHERE c_acctbal > 0 GROUP BY 1),
 r AS (SELECT quarter, price, income, price * 12 / nullif(income * 1000, 0) * 100 AS ratio FROM q LEFT JOIN y ON y.y = year(quarter))
 SELECT quarter, price, income, round(ratio, 4) AS ratio, CASE WHEN ratio < 25 THEN 'A' WHEN ratio < 30 THEN 'B' WHEN ratio < 40 THEN 'C' ELSE 'D' END AS class FROM r
 """,
 )
 def affordability(spark: SparkSession, sf: str) -> DataFrame:
     """Join on an expression, ratio and class; a null ratio falls to the last class."""
-    q = table(spark, sf, "orders").groupBy(F.date_trunc("quarter", "o_orderdate").cast("date").alias("quarter")).agg(F.round(F.avg("o_totalprice"), 5).alias("price"))
-    y = table(spark, sf, "customer").where("c_acctbal > 0").groupBy((F.lit(1995) + F.col("c_nationkey") % 5).cast("int").alias("y")).agg(F.round(F.avg("c_acctbal"), 5).alias("income"))
+    q = table(spark, sf, "orders").groupBy(F.date_trunc("quarter", "o_orderdate").cast("date").alias("quarter")).agg(_mean("o_totalprice").alias("price"))
+    y = table(spark, sf, "customer").where("c_acctbal > 0").groupBy((F.lit(1995) + F.col("c_nationkey") % 5).cast("int").alias("y")).agg(_mean("c_acctbal").alias("income"))
     r = q.join(y, F.year("quarter") == F.col("y"), "left").withColumn("r", N.ratio(F.col("price") * 12, F.col("income") * 1000) * 100)
     return r.select("quarter", "price", "income", F.round("r", 4).alias("ratio"), rules.bands(F.col("r"), [(25, "A"), (30, "B"), (40, "C")], "D", null="D").alias("class"))
 
