@@ -4,7 +4,8 @@ The word n-grams of the test items are a hash map in a broadcast variable; every
 training document is scanned once, window by window, as a whole. Hits of one
 item that lie close together form a candidate passage, which is then verified:
 the longest common subsequence of item and passage, in words, must reach the
-wanted share of the item. Changed words, markup, case, punctuation and words
+wanted share of the item, and its bounds are the first and last of those words.
+Copies in a row are a passage each. Changed words, markup, case, punctuation and words
 broken over lines do not hide a passage; a short quotation and a sentence that
 only sounds alike do not reach the share.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthmill.session import ship
+from hearthmill.session import materialize, ship
 
 _BREAK = r"(?:­|​|[-‐][ \t]*\r?\n\s*)"
 #: a word, broken over lines or not, or markup to skip (inline tags inside a word are not looked for)
@@ -55,6 +56,36 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - s.bit_count()
 
 
+def _running(a: list[int], b: list[int]) -> list[int]:
+    """:func:`common_subsequence` of ``a`` with each beginning of ``b``, from one word on."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = s = (1 << len(a)) - 1
+    out = []
+    for y in b:
+        u = s & at.get(y, 0)
+        s = ((s + u) | (s - u)) & full
+        out.append(len(a) - s.bit_count())
+    return out
+
+
+def aligned(item: list[int], part: list[int], share: float) -> tuple[int, int, int]:
+    """(first, behind the last, number) of the item's words in a part that holds ``share`` of them.
+
+    Words at the ends with more than twice as many other words between them and the
+    rest are chance (a *the* of the text around), unless the share needs them.
+    """
+    for toll in (1, 0):
+        ends = _running(item, part)
+        b = max(range(1, len(part) + 1), key=lambda k: (3 * ends[k - 1] - toll * k, -k))
+        starts = _running(item[::-1], part[:b][::-1])
+        n = max(range(1, b + 1), key=lambda k: (3 * starts[k - 1] - toll * k, -k))
+        if starts[n - 1] / len(item) >= share:
+            break
+    return b - n, b, starts[n - 1]
+
+
 class ItemIndex:
     """N-grams of a block of test items."""
 
@@ -99,29 +130,35 @@ class ItemIndex:
             cluster: list[tuple[int, int]] = []
             for x in [*h, (1 << 60, 0)]:
                 if cluster and x[0] - cluster[-1][0] > gap + self.n:
-                    if (f := self._verify(item, cluster, seq, share, least)) is not None:
-                        found.append((self.ids[k], *f))
+                    found += [(self.ids[k], *f) for f in self._verify(item, cluster, seq, share, least)]
                     cluster = []
                 cluster.append(x)
         return found
 
-    def _verify(self, item: list[int], cluster: list[tuple[int, int]], seq: list[int], share: float, least: float) -> tuple[int, int, float] | None:
+    def _verify(self, item: list[int], cluster: list[tuple[int, int]], seq: list[int], share: float, least: float) -> list[tuple[int, int, float]]:
+        """(first word, behind the last word, share held) of every passage in a cluster of hits; none overlap."""
         covered = {q + d for _, q in cluster for d in range(self.n)}
         if len(covered) < least * len(item):
-            return None
-        lo, hi = max(0, cluster[0][0] - 5), min(len(seq), cluster[-1][0] + self.n + 5)
-        width = int(1.4 * len(item)) + 4
-        best: tuple[int, int, float] | None = None
-        for a in range(lo, max(lo + 1, hi - width + 1), max(1, len(item) // 5)):
-            b = min(hi, a + width)
-            got = common_subsequence(item, seq[a:b]) / len(item)
-            if got >= share and (best is None or got > best[2]):
-                best = (a, b, got)
-        if hi - lo > width:
-            got = common_subsequence(item, seq[hi - width : hi]) / len(item)
-            if got >= share and (best is None or got > best[2]):
-                best = (hi - width, hi, got)
-        return best
+            return []
+        width, step = int(1.4 * len(item)) + 4, max(1, len(item) // 5)
+        found = []
+        left = [(max(0, cluster[0][0] - 5), min(len(seq), cluster[-1][0] + self.n + 5))]
+        while left:
+            lo, hi = left.pop()
+            if lo >= hi:
+                continue
+            first = best = most = 0
+            for a in [*range(lo, max(lo + 1, hi - width + 1), step), *([hi - width] if hi - lo > width else [])]:
+                if most and (most == len(item) or a >= first + width):
+                    break  # what follows is another passage's
+                got = common_subsequence(item, seq[a : min(hi, a + width)])
+                if got / len(item) >= share and got > most:
+                    first, best, most = first if most else a, a, got
+            if most:
+                a, b, got = aligned(item, seq[best : min(hi, best + width)], share)
+                found.append((best + a, best + b, got / len(item)))
+                left += [(lo, best + a), (best + b, hi)]
+        return found
 
 
 def _blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -190,3 +227,21 @@ def remove_leaks(docs: DataFrame, found: DataFrame, doc_key: str = "doc_id", tex
 
     hit = docs.join(spans, doc_key).withColumn(text, cut(F.col(text), F.col("__spans"))).drop("__spans").select(*docs.columns)
     return docs.join(spans.select(doc_key), doc_key, "left_anti").select(*docs.columns).unionByName(hit)
+
+
+def without_leaks(
+    docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", share: float = 0.5, n: int = 3, block_words: int = 500_000
+) -> DataFrame:
+    """``docs`` with every leaked passage cut out of its text.
+
+    A cut can bring the parts of another passage together, so documents that were
+    cut are scanned again, and only they, until nothing is found.
+    """
+    done = []
+    while True:
+        found = materialize(leaks(docs.select(doc_key, text), items, doc_key, item_key, text, share, n, block_words), "leaks")
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, docs])
+        hit = found.select(doc_key).distinct()
+        done.append(docs.join(hit, doc_key, "left_anti").select(*docs.columns))
+        docs = materialize(remove_leaks(docs.join(hit, doc_key, "left_semi").select(*docs.columns), found, doc_key, text), "cut")

@@ -179,7 +179,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus with every leaked passage cut out of its text."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    return contamination.remove_leaks(docs, materialize(_leaks(spark, sf), "leaks"))
+    return contamination.without_leaks(docs, table(spark, sf, "eval_items").select("item_id", "text"))
 
 
 # --- 9: mixing sources ------------------------------------------------------------------------

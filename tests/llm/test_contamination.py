@@ -96,3 +96,27 @@ def test_operator_blocks_and_edges(spark):
     again = C.leaks(C.remove_leaks(docs, found).select("doc_id", "text"), items)
     assert again.count() == 0
     assert C.leaks(docs.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("item", [ITEM, ITEM + " " + OTHER])  # 32 and 61 words
+@pytest.mark.parametrize("times", [1, 2, 3, 7])
+def test_copies_in_a_row_are_a_passage_each(item, times):
+    n, before = len(C.words(item)), len(C.words(FILL))
+    found = C.ItemIndex([(1, item)]).passages(FILL + " ".join([item] * times) + " " + FILL, 0.5)
+    assert sorted(found) == [(1, before + i * n, before + (i + 1) * n, 1.0) for i in range(times)]
+
+
+@pytest.mark.parametrize("passage", [ITEM, " ".join(ITEM.split()[4:]), "zzz " + changed(ITEM, 6) + " zzz"])
+def test_words_around_a_passage_stay(index, passage):
+    ((_, a, b, _),) = index.passages(FILL + passage + " " + FILL, 0.5)
+    text = C.cut_words(FILL + passage + " " + FILL, [(a, b - 1)])
+    assert C.words(text.replace("zzz", "")) == C.words(FILL + FILL)
+
+
+def test_a_cut_that_joins_another_passage(spark):
+    half = len(ITEM.split()) // 2
+    nested = " ".join([*ITEM.split()[:half], OTHER, *ITEM.split()[half:]])
+    docs = spark.createDataFrame([(1, FILL + " ".join([ITEM] * 3) + " " + FILL), (2, FILL + nested + " " + FILL), (3, FILL), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id long, text string")
+    clean = {r.doc_id: r.text and C.words(r.text) for r in C.without_leaks(docs, items).collect()}
+    assert clean == {1: C.words(FILL + FILL), 2: C.words(FILL + FILL), 3: C.words(FILL), 4: None}
