@@ -1,8 +1,9 @@
 """Full history of changing attributes from periodic snapshots or updates.
 
 Storage is checkpoint and delta: for each entity, a full version at the start
-of every chunk of its time line (a checkpoint) and, for each later change in
-the chunk, a patch that holds only the attributes that changed. Validity rows
+of every chunk of its time line and at every ``every``-th stored row in it (a
+checkpoint) and, for each later change in the chunk, a patch that holds only the
+attributes that changed. Validity rows
 come from folding patches forward from the nearest checkpoint.
 
 An entity's rows are never brought to one task as a whole: an entity with more
@@ -52,11 +53,12 @@ def chunked(seen: DataFrame, chunk_rows: int = 100_000) -> DataFrame:
     )
 
 
-def store(df: DataFrame, entity: str, at: str, order: str, attributes: list[str], chunk_rows: int = 100_000) -> DataFrame:
+def store(df: DataFrame, entity: str, at: str, order: str, attributes: list[str], chunk_rows: int = 100_000, every: int = 8) -> DataFrame:
     """The checkpoint-delta store as one table: (entity, chunk, at, opening, is_checkpoint, full, patch).
 
-    ``full`` is set on checkpoints. ``patch`` maps each changed attribute to a
-    one-field struct with its new value; an attribute that did not change is null there.
+    ``full`` is set on checkpoints: the first of every ``every`` stored rows of a chunk. ``patch``, null on
+    a chunk's first row only, maps each changed attribute to a one-field struct with its new value; an
+    attribute that did not change is null there.
     """
     seen = chunked(observed(df, entity, at, order, attributes), chunk_rows)
     w = W.partitionBy("entity", "chunk").orderBy("at")
@@ -67,19 +69,22 @@ def store(df: DataFrame, entity: str, at: str, order: str, attributes: list[str]
     patch = F.struct(
         *[F.when(~_same(F.col(f"state.`{a}`"), F.col(f"before.`{a}`")), F.struct(F.col(f"state.`{a}`").alias("v"))).alias(a) for a in attributes]
     )
-    return before.where(F.col("first") | changed).select(
+    stored = F.col("first") | changed
+    number = F.sum(stored.cast("long")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))  # from 1
+    due = (F.col("number") - 1) % every == 0
+    return before.withColumn("number", number).where(stored).select(
         "entity",
         "chunk",
         "at",
         "opening",
-        F.col("first").alias("is_checkpoint"),
-        F.when(F.col("first"), F.col("state")).alias("full"),
+        due.alias("is_checkpoint"),
+        F.when(due, F.col("state")).alias("full"),
         F.when(~F.col("first"), patch).alias("patch"),
     )
 
 
 def fold(stored: DataFrame, attributes: list[str]) -> DataFrame:
-    """``stored`` with ``state``: each row's full version, folded forward from its chunk's checkpoint."""
+    """``stored`` with ``state``: each row's full version, folded forward from the nearest checkpoint."""
     w = W.partitionBy("entity", "chunk").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     parts = []
     for a in attributes:
@@ -91,17 +96,18 @@ def fold(stored: DataFrame, attributes: list[str]) -> DataFrame:
 def versions(stored: DataFrame, attributes: list[str], entity: str = "entity") -> DataFrame:
     """Validity rows: (entity, version_no, opening, valid_from, valid_to, attributes...).
 
-    ``valid_to`` is null on the version that holds now. A checkpoint that repeats the
+    ``valid_to`` is null on the version that holds now. A chunk's first row that repeats the
     final state of the chunk before it opens no version. An empty store gives no rows.
     """
     s = fold(stored, attributes)
-    # one row for each chunk: its first and last state and how many changes lie behind its checkpoint
+    patched = F.col("patch").isNotNull()
+    # one row for each chunk: its first and last state and how many changes lie behind its first row
     ends = s.groupBy("entity", "chunk").agg(
         F.min(F.struct("at", "state")).getField("state").alias("first_state"),
         F.max(F.struct("at", "state")).getField("state").alias("last_state"),
         F.min("at").alias("chunk_at"),
-        F.sum((~F.col("is_checkpoint")).cast("long")).alias("patches"),
-        F.min(F.when(~F.col("is_checkpoint"), F.col("at"))).alias("first_patch_at"),
+        F.sum(patched.cast("long")).alias("patches"),
+        F.min(F.when(patched, F.col("at"))).alias("first_patch_at"),
     )
     w = W.partitionBy("entity").orderBy("chunk")
     prior = F.lag("last_state").over(w)
@@ -119,7 +125,7 @@ def versions(stored: DataFrame, attributes: list[str], entity: str = "entity") -
         (F.sum(own).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - own).alias("before_no"),
         F.first(starts_at, ignorenulls=True).over(later).alias("next_chunk_at"),
     )
-    v = s.join(ends, ["entity", "chunk"]).where(~F.col("is_checkpoint") | F.col("opens"))
+    v = s.join(ends, ["entity", "chunk"]).where(patched | F.col("opens"))
     inside = W.partitionBy("entity", "chunk").orderBy("at")
     return v.select(
         F.col("entity").alias(entity),
@@ -143,7 +149,7 @@ def as_of(stored: DataFrame, moment: Column, attributes: list[str], entity: str
     Entities not seen by then have no row.
     """
     upto = stored.where(F.col("at") <= moment)
-    chunk = upto.groupBy("entity").agg(F.max("chunk").alias("chunk"))
-    s = fold(upto.join(chunk, ["entity", "chunk"]), attributes)
+    near = upto.where("is_checkpoint").groupBy("entity").agg(F.max("at").alias("near"))
+    s = fold(upto.join(near, "entity").where(F.col("at") >= F.col("near")).drop("near"), attributes)
     last = s.groupBy("entity").agg(F.max(F.struct("at", "opening", "state")).alias("x"))
     return last.select(F.col("entity").alias(entity), F.col("x.at").alias("valid_from"), "x.opening", *[F.col(f"x.state.`{a}`").alias(a) for a in attributes])

@@ -93,3 +93,13 @@ def test_several_attributes_and_as_of(spark):
     now = history.as_of(s, history.F.lit(T0 + timedelta(days=1, hours=2)).cast("timestamp_ntz"), ["p", "q"]).first()
     assert (now.opening, now.p, now.q) == (2, 5, None)
     assert history.history(df.limit(0), "e", "at", "o", ["p"]).count() == 0
+
+
+def test_checkpoints_within_one_chunk(spark):
+    data = [("a", T0 + timedelta(days=d), d, d // 2, "x" if d < 30 else "y") for d in range(40)]  # 20 versions
+    s = history.store(spark.createDataFrame(data, "e string, at timestamp_ntz, o long, p int, q string"), "e", "at", "o", ["p", "q"])
+    assert [r.opening for r in s.where("is_checkpoint").orderBy("at").collect()] == [0, 16, 32]
+    assert [tuple(r)[1:3] + tuple(r)[5:] for r in history.versions(s, ["p", "q"]).orderBy("version_no").collect()] == [(i + 1, 2 * i, i, "x" if i < 15 else "y") for i in range(20)]
+    late = s.where("opening >= 16")  # what lies before the nearest checkpoint is not needed
+    now = history.as_of(late, history.F.lit(T0 + timedelta(days=31, hours=2)).cast("timestamp_ntz"), ["p", "q"]).first()
+    assert (now.opening, now.p, now.q) == (30, 15, "y")
