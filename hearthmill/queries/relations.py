@@ -232,12 +232,20 @@ def constant_row(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_salted_join", "SELECT seller_id, count(*) AS n, CAST(sum(d.n_chars) AS BIGINT) AS chars FROM raw_daft_listings r JOIN documents d USING (property_id, seller_id) GROUP BY seller_id")
 def salted_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Join with one seller in a tenth of the rows: its rows are spread over salts."""
+    """Join on property and seller, of which no pair is hot: the path without salts; see q_salted_hot."""
     r = table(spark, sf, "raw_daft_listings").select("property_id", "seller_id")
     d = table(spark, sf, "documents").select("property_id", "seller_id", "n_chars")
     return R.salted_join(r, d, ["property_id", "seller_id"]).groupBy("seller_id").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query("q_salted_hot", "SELECT r.id, seller_id, CAST(d.chars AS BIGINT) AS chars FROM raw_daft_listings r JOIN (SELECT seller_id, sum(n_chars) AS chars FROM documents GROUP BY seller_id) d USING (seller_id)")
+def salted_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Join with one row for each seller; the rows of a seller in a tenth of the listings are spread over salts."""
+    r = table(spark, sf, "raw_daft_listings").select("id", "seller_id")
+    d = table(spark, sf, "documents").groupBy("seller_id").agg(F.sum("n_chars").alias("chars"))
+    return R.salted_join(r, d, ["seller_id"]).select("id", "seller_id", "chars")
+
+
 # --- aggregates -------------------------------------------------------------------------------
 
 

@@ -32,3 +32,9 @@ def test_entry_runs(spark, data):
 
     df = entry.entry(spark)
     assert df.columns == ["nation", "n_orders", "avg_price", "median_price"] and df.count() == 25
+
+
+def test_salted_hot_has_a_hot_key(con):
+    """salted_join salts keys with more than 1/64 of the rows."""
+    hot = "SELECT count(*) FROM (SELECT seller_id FROM raw_daft_listings WHERE seller_id IN (SELECT seller_id FROM documents) GROUP BY 1 HAVING count(*) * 64 > (SELECT count(*) FROM raw_daft_listings))"
+    assert "q_salted_hot" in ALL_QUERIES and con.execute(hot).fetchone()[0] >= 1
