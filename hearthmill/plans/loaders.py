@@ -17,13 +17,18 @@ from pyspark.sql import types as T
 from hearthmill.functions.datetimes import year_of_period
 from hearthmill.operators.relational import anti_null_safe, keep_first
 from hearthmill.plans.store import TableStore
+from hearthmill.sources.files import flatten_cube
 
 log = logging.getLogger("hearthmill")
 
 
 @dataclass
 class Feed:
-    """How one feed becomes rows of one table."""
+    """How one feed becomes rows of one table.
+
+    ``constants`` fill columns that a batch does not bring. ``first_by`` orders the rows of a key in a
+    batch, of which the first is kept; without it that is the order in which the batch is read.
+    """
 
     table: str
     schema: str
@@ -33,24 +38,25 @@ class Feed:
     computed: dict[str, Callable[[DataFrame], Column]] = field(default_factory=dict)
     first_by: list[str] = field(default_factory=list)
     dedupe_batch: bool = True
+    dims: list[str] = field(default_factory=list)
 
     def fields(self) -> T.StructType:
         return T._parse_datatype_string(self.schema)
 
 
 def rename(df: DataFrame, aliases: dict[str, str], drop_suffix: str = "_Label") -> DataFrame:
-    """Columns under their table names; a byte-order mark in front of a name is ignored, unmapped label columns go.
+    """Columns under their table names; a byte-order mark and quotes around a name are ignored, unmapped label columns go.
 
-    Where two aliases of one target occur, the first of the map counts.
+    Where several aliases of one target occur, the first in the map that holds a value counts.
     """
-    have = {c.lstrip("﻿"): c for c in df.columns}
-    out, taken = [], set()
+    have = {c.lstrip("\ufeff").strip('"'): c for c in df.columns}
+    found: dict[str, list[Column]] = {}
     for source, target in aliases.items():
-        if source in have and target not in taken:
-            out.append(F.col(f"`{have[source]}`").alias(target))
-            taken.add(target)
+        if source in have:
+            found.setdefault(target, []).append(F.col(f"`{have[source]}`"))
+    out = [(F.coalesce(*cs) if len(cs) > 1 else cs[0]).alias(target) for target, cs in found.items()]
     for plain, c in have.items():
-        if plain not in aliases and plain not in taken and not plain.endswith(drop_suffix):
+        if plain not in aliases and plain not in found and not plain.endswith(drop_suffix):
             out.append(F.col(f"`{c}`").alias(plain))
     return df.select(*out)
 
@@ -79,7 +85,8 @@ def prepare(df: DataFrame, feed: Feed) -> DataFrame:
     """A raw batch as rows of the feed's table, before any de-duplication."""
     d = rename(df, feed.aliases) if feed.aliases else df
     for n, c in feed.constants.items():
-        d = d.withColumn(n, c)
+        if n not in d.columns:
+            d = d.withColumn(n, c)
     for n, make in feed.computed.items():
         d = d.withColumn(n, make(d))
     return coerce(d, feed.fields())
@@ -87,10 +94,21 @@ def prepare(df: DataFrame, feed: Feed) -> DataFrame:
 
 def load(store: TableStore, df: DataFrame, feed: Feed) -> int:
     """Add what is new; returns how many rows were added. An empty batch adds none."""
-    rows = prepare(df, feed)
+    return _add(store, prepare(df, feed), feed)
+
+
+def _first_read(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key in reading order, by a partial aggregate; nulls are equal."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
+    kept = rows.withColumn("__at", F.monotonically_increasing_id()).groupBy(*keys).agg(F.min(F.struct("__at", *rest)).alias("__row"))
+    return kept.select(*keys, "__row.*").select(*rows.columns)
+
+
+def _add(store: TableStore, rows: DataFrame, feed: Feed) -> int:
+    """Add prepared rows whose keys the table lacks."""
     if feed.dedupe_batch:
         order = [F.col(c).asc_nulls_last() for c in feed.first_by]
-        rows = keep_first(rows, feed.keys, order) if order else rows.dropDuplicates(feed.keys)
+        rows = keep_first(rows, feed.keys, order) if order else _first_read(rows, feed.keys)
     if store.exists(feed.table):
         rows = anti_null_safe(rows, store.read(feed.table), feed.keys)
     from hearthmill.session import materialize
@@ -127,35 +145,46 @@ def load_all(store: TableStore, batches: dict[str, DataFrame | None], feeds: dic
 # --- feeds ------------------------------------------------------------------------------------
 
 
-def _cube(table: str, dims: dict[str, str], keys: list[str], value: str, extra_periods: tuple[str, ...] = ()) -> Feed:
-    """A statistical cube: dimension ids become ``<name>_code`` and ``<name>_label``."""
+def _cube(table: str, dims: dict[str, tuple[str, str]], keys: list[str], value: str, periods: tuple[str, ...] = ("TLIST(A1)",)) -> Feed:
+    """A statistical cube: dimension ids become ``<name>_code``, their labels ``<name>_label``, from JSON-stat or published CSV headers.
+
+    A cube's rows are held against the table only, never against each other: months share a year.
+    """
     aliases = {"STATISTIC": "statistic_code", "STATISTIC Label": "statistic_label", "Statistic Label": "statistic_label", "STATISTIC_Label": "statistic_label"}
-    for p in ("TLIST(A1)", *extra_periods):
+    for p in periods:
         aliases[p] = "time_period"
     aliases |= {"Year": "year", "UNIT": "unit", "VALUE": "value"}
-    for ident, name in dims.items():
-        aliases |= {ident: f"{name}_code", f"{ident}_Label": f"{name}_label"}
-    labels = ", ".join(f"{n}_code string, {n}_label string" for n in dims.values())
-    schema = f"statistic_code string, statistic_label string, time_period string, year int, {labels}, unit string, value {value}, source string"
+    for ident, (name, header) in dims.items():
+        aliases |= {ident: f"{name}_code", f"{ident}_Label": f"{name}_label", header: f"{name}_label"}
+    labels = ", ".join(f"{n}_code string, {n}_label string" for n, _ in dims.values())
+    schema = f"statistic_code string, statistic_label string, time_period string, year int, {labels}, unit string, value {value}, date_fetched timestamp, source string"
 
     def year(d: DataFrame) -> Column:
         own = F.col("year").try_cast("int") if "year" in d.columns else F.lit(None).cast("int")
         return F.coalesce(own, year_of_period(F.col("time_period"))) if "time_period" in d.columns else own
 
-    return Feed(table, schema, keys, aliases, computed={"year": year})
+    constants = {"date_fetched": F.current_timestamp(), "source": F.lit("cso.ie")}
+    return Feed(table, schema, keys, aliases, constants, {"year": year}, dedupe_batch=False, dims=["STATISTIC", *periods, *dims])
+
 
+def cubes() -> dict[str, Feed]:
+    """The feeds of the four published cubes (a session must be running)."""
+    return {name: _cube(*spec) for name, spec in CUBES.items()}
 
-# fixed values: dimension ids and de-duplication keys of the four published cubes
+
+# fixed values: table, dimension ids with column name and published CSV header, de-duplication keys, type of the value, period dimensions
 CUBES = {
-    "rent": _cube(
-        "raw_cso_rent", {"C02970V03592": "bedrooms", "C02969V03591": "property_type", "C03004V03625": "location"},
+    "rent": (
+        "raw_cso_rent",
+        {"C02970V03592": ("bedrooms", "Number of Bedrooms"), "C02969V03591": ("property_type", "Property Type"), "C03004V03625": ("location", "Location")},
         ["year", "location_label", "bedrooms_label", "property_type_label"], "decimal(10,2)",
     ),
-    "cpi": _cube("raw_cso_cpi", {"C01779V03424": "commodity"}, ["year", "commodity_label", "statistic_code"], "decimal(10,3)", ("TLIST(M1)", "TLIST(Q1)")),
-    "population": _cube("raw_cso_population", {"C02076V02508": "age_group", "C02199V02655": "sex"}, ["year", "age_group_label", "sex_label"], "decimal(12,2)"),
-    "income": _cube("raw_cso_income", {"C02196V02652": "location"}, ["year", "location_label", "statistic_code"], "decimal(15,2)"),
+    "cpi": ("raw_cso_cpi", {"C01779V03424": ("commodity", "Commodity Group")}, ["year", "commodity_label", "statistic_code"], "decimal(10,3)", ("TLIST(A1)", "TLIST(M1)", "TLIST(Q1)")),
+    "population": ("raw_cso_population", {"C02076V02508": ("age_group", "Age Group"), "C02199V02655": ("sex", "Sex")}, ["year", "age_group_label", "sex_label"], "decimal(12,2)"),
+    "income": ("raw_cso_income", {"C02196V02652": ("location", "County and Region")}, ["year", "location_label", "statistic_code"], "decimal(15,2)"),
 }
 
+# fixed values: columns of the listings table
 LISTING_SCHEMA = (
     "property_id string, daft_shortcode string, title string, seo_title string, price decimal(10,2), price_raw string, abbreviated_price string, property_type string, bedrooms int, "
     "num_bedrooms_raw string, county string, sections string, sale_type string, category string, state string, publish_date bigint, date_of_construction string, scraped_at timestamp, "
@@ -165,7 +194,7 @@ LISTING_SCHEMA = (
 )
 LISTINGS = Feed("raw_daft_listings", LISTING_SCHEMA, ["property_id", "publish_date"])
 
-#: shape of one listing in a page's embedded data
+# fixed values: shape of one listing in a page's embedded data
 LISTING_JSON = (
     "struct<id:string,daftShortcode:string,title:string,seoTitle:string,price:string,abbreviatedPrice:string,propertyType:string,numBedrooms:string,sections:array<string>,saleType:array<string>,"
     "publishDate:bigint,dateOfConstruction:string,category:string,state:string,featuredLevel:string,featuredLevelFull:string,premierPartner:boolean,seoFriendlyPath:string,prsTotalUnitTypes:int,"
@@ -208,14 +237,26 @@ def load_mode(store: TableStore, table: str, mark: str, force_full: bool = False
 
 
 def load_cube(store: TableStore, df: DataFrame, feed: Feed, force_full: bool = False) -> bool:
-    """Probe, choose the mode, drop years at or before the mark, load. Nothing new counts as success, an error as failure."""
+    """Probe, choose the mode, drop years at or before the mark, load. Nothing new counts as success, an error as failure.
+
+    A key column that is null in every row of a batch is an error too: its header was not known, and rows would
+    be taken for one another.
+    """
     mode, mark = load_mode(store, feed.table, "year", force_full)
     try:
         rows = prepare(df, feed)
+        got = rows.agg(F.count("*").alias("n"), *[F.count(f"`{k}`").alias(k) for k in feed.keys]).first()
+        if got.n and (lost := [k for k in feed.keys if not got[k]]):
+            raise ValueError(f"{feed.table}: no values for {', '.join(lost)}")
         if mode == "incremental" and mark is not None:
             rows = rows.where(F.col("year") > F.lit(mark))
-        load(store, rows, Feed(feed.table, feed.schema, feed.keys))
+        _add(store, rows, feed)
         return True
     except Exception:
         log.exception("cube %s failed", feed.table)
         return False
+
+
+def load_cube_text(store: TableStore, df: DataFrame, text: str, feed: Feed, force_full: bool = False) -> bool:
+    """Flatten the JSON-stat cubes in column ``text`` and load their cells; dimensions that a cube lacks are null."""
+    return load_cube(store, flatten_cube(df, text, feed.dims).withColumnRenamed("value", "VALUE"), feed, force_full)

@@ -83,7 +83,7 @@ def _codes(index: Column, labels: Column) -> Column:
 
 
 def flatten_cube(df: DataFrame, text: str, dims: list[str], keep: list[str] | None = None) -> DataFrame:
-    """One row for each value of JSON-stat cubes in column ``text``: for each dimension its code and ``<dim>_label``.
+    """One row for each value of JSON-stat cubes in column ``text``: for each dimension its code and ``<dim>_Label``.
 
     The last dimension runs fastest; a position's codes follow from its number by division,
     so no product of dimensions is built. Cells beyond the values are not made; a code without
@@ -105,7 +105,7 @@ def flatten_cube(df: DataFrame, text: str, dims: list[str], keep: list[str] | No
     for d in dims:
         n = F.size(f"__codes_{d}")
         code = F.get(F.col(f"__codes_{d}"), ((F.col("position") / F.col(f"__stride_{d}")).cast("long") % n).cast("int"))
-        out += [code.alias(d), F.coalesce(F.element_at(F.col(f"__labels_{d}"), code), code).alias(f"{d}_label")]
+        out += [code.alias(d), F.coalesce(F.element_at(F.col(f"__labels_{d}"), code), code).alias(f"{d}_Label")]
     return flat.where(F.col("position") < F.col("__cells")).select(*(keep or []), "position", *out, "value")
 
 

@@ -1,3 +1,5 @@
+import json
+import math
 from datetime import date, datetime
 
 import pytest
@@ -191,17 +193,47 @@ def test_data_tests(spark):
 
 
 def test_cube_loader_incremental(spark, store):
-    feed = loaders.CUBES["income"]
+    feed = loaders.cubes()["income"]
     raw = lambda *r: spark.createDataFrame(list(r), "`﻿STATISTIC` string, `TLIST(A1)` string, C02196V02652 string, C02196V02652_Label string, Other_Label string, VALUE string")
     assert loaders.load_cube(store, raw(("S", "2020", "1", "Dublin", "x", "10.5"), ("S", "2020", "1", "Dublin", "x", "10.5"), ("S", "2021", "1", "Dublin", "x", "bad")), feed)
     assert loaders.load_mode(store, feed.table, "year") == ("incremental", 2021)
     assert loaders.load_cube(store, raw(("S", "2021", "2", "Cork", "x", "3"), ("S", "2022", "2", "Cork", "x", "3")), feed)
     got = rows(store.read(feed.table).select("year", "location_label", "value"))
-    assert [(y, n, None if v is None else float(v)) for y, n, v in got] == [(2020, "Dublin", 10.5), (2021, "Dublin", None), (2022, "Cork", 3.0)]
+    # rows of one batch are never held against each other
+    assert [(y, n, None if v is None else float(v)) for y, n, v in got] == [(2020, "Dublin", 10.5), (2020, "Dublin", 10.5), (2021, "Dublin", None), (2022, "Cork", 3.0)]
     assert loaders.load_mode(store, feed.table, "year", force_full=True) == ("full", None)
     assert not loaders.load_cube(store, raw(), loaders.Feed(feed.table, "bad schema(", feed.keys))
 
 
+@pytest.mark.parametrize("name", ["rent", "cpi", "population", "income"])
+def test_cube_counts_every_cell(name, spark, store):
+    feed = loaders.cubes()[name]
+    period = [d for d in feed.dims if d.startswith("TLIST")][-1]
+    dims = ["STATISTIC", period, *[d for d in feed.dims if not d.startswith(("STAT", "TLIST"))]]
+    codes = [["S1"], ["2023", "2024"] if period == "TLIST(A1)" else ["2023Q4", "2024Q1", "2024Q2"], *[["a", "b", "c"]] * (len(dims) - 2)]
+    cells = math.prod(map(len, codes))
+    body = {"id": dims, "size": list(map(len, codes)), "value": list(range(cells)), "dimension": {d: {"category": {"index": c, "label": {x: f"L {x}" for x in c}}} for d, c in zip(dims, codes, strict=True)}}
+    text = spark.createDataFrame([(json.dumps(body),)], "body string")
+    assert loaders.load_cube_text(store, text, "body", feed)
+    got = store.read(feed.table)
+    assert got.count() == cells and {r[0] for r in got.select("year").collect()} == {2023, 2024}
+    assert got.where(" OR ".join(f"{k} IS NULL" for k in feed.keys)).count() == 0 and got.where("source = 'cso.ie' AND date_fetched IS NOT NULL").count() == cells
+    assert loaders.load_cube_text(store, text, "body", feed) and store.read(feed.table).count() == cells
+
+
+def test_cube_with_unknown_headers_fails(spark, store):
+    raw = spark.createDataFrame([("S", "2020", "Dublin", "1")], "STATISTIC string, Year string, `Some Place` string, VALUE string")
+    assert not loaders.load_cube(store, raw, loaders.cubes()["income"])
+    published = raw.withColumnRenamed("Some Place", "County and Region")
+    assert loaders.load_cube(store, published, loaders.cubes()["income"]) and store.read("raw_cso_income").first().location_label == "Dublin"
+
+
+def test_load_keeps_the_first_row_read(spark, store):
+    feed = loaders.Feed("first", "k int, v int", ["k"])
+    df = spark.createDataFrame([(i % 5, i) for i in range(100)], "k int, v int").coalesce(1)
+    assert loaders.load(store, df, feed) == 5 and rows(store.read("first")) == [(i, i) for i in range(5)]
+
+
 def test_load_rows_and_dispatch(spark, store):
     feed = loaders.Feed("t", "id int, flag boolean, tags string", ["id"], first_by=["tags"])
     assert loaders.load_rows(store, [{"id": "1", "flag": "true"}, {"id": "x"}, {"id": "1", "tags": "a"}], feed, "id string, flag string, tags string") == 2

@@ -31,7 +31,7 @@ def test_cube_edges(spark):
     cube = {"id": ["A", "B"], "size": [2, 3], "value": [0, 1, 2, 3, 4], "dimension": {"A": {"category": {"index": ["x", "y"], "label": {}}}, "B": {"category": {"index": {"r": 2, "p": 0, "q": 1}, "label": {"p": "P"}}}}}
     df = spark.createDataFrame([(1, json.dumps(cube)), (2, "no cube"), (3, None)], "k int, body string")
     got = files.flatten_cube(df, "body", ["A", "B"], keep=["k"]).orderBy("position").collect()
-    assert [(r.k, r.A, r.B, r.B_label, r.value) for r in got] == [(1, "x", "p", "P", 0), (1, "x", "q", "q", 1), (1, "x", "r", "r", 2), (1, "y", "p", "P", 3), (1, "y", "q", "q", 4)]
+    assert [(r.k, r.A, r.B, r.B_Label, r.value) for r in got] == [(1, "x", "p", "P", 0), (1, "x", "q", "q", 1), (1, "x", "r", "r", 2), (1, "y", "p", "P", 3), (1, "y", "q", "q", 4)]
 
 
 def test_pages(spark):
