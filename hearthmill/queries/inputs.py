@@ -155,7 +155,7 @@ def cube_load_cpi(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q_cube_load_population",
     """
-WITH c AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS y, l_shipmode AS a, l_returnflag AS s, count(*) AS n FROM lineitem GROUP BY ALL),
+WITH c AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS y, CAST(l_linenumber AS VARCHAR) AS a, l_returnflag AS s, count(*) AS n FROM lineitem GROUP BY ALL),
 g AS (SELECT y, a, s FROM (SELECT DISTINCT y FROM c), (SELECT DISTINCT a FROM c), (SELECT DISTINCT s FROM c))
 SELECT y AS time_period, CAST(y AS INTEGER) AS year, a AS age_group_code, a || ' all' AS age_group_label, s AS sex_code, s || ' all' AS sex_label, CAST(n AS DOUBLE) AS value FROM g LEFT JOIN c USING (y, a, s)
 """,
@@ -164,7 +164,7 @@ def cube_load_population(spark: SparkSession, sf: str) -> DataFrame:
     """A cube of four dimensions with empty cells, loaded as far as the year before the last, then whole: only the new year comes in."""
     item = table(spark, sf, "lineitem")
     dims = ["STATISTIC", "TLIST(A1)", "C02076V02508", "C02199V02655"]
-    cells = item.groupBy(F.lit("PEA").alias(dims[0]), F.year("l_shipdate").cast("string").alias(dims[1]), F.col("l_shipmode").alias(dims[2]), F.col("l_returnflag").alias(dims[3])).agg(F.count("*").alias("value"))
+    cells = item.groupBy(F.lit("PEA").alias(dims[0]), F.year("l_shipdate").cast("string").alias(dims[1]), F.col("l_linenumber").cast("string").alias(dims[2]), F.col("l_returnflag").alias(dims[3])).agg(F.count("*").alias("value"))
     last = item.agg(F.max(F.year("l_shipdate")).cast("string")).first()[0]
     # the cut cube still has every code of the other dimensions, so that both loads have the same cells for a year
     others = cells.where(F.col(f"`{dims[1]}`") == last).withColumn(dims[1], F.lit("1900")).withColumn("value", F.lit(None).cast("long"))
