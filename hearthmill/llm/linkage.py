@@ -1,33 +1,44 @@
 """Deduplicating new batches against all history, without reading all of it again.
 
-State is a pair of append-only tables in the shared folder:
-
-``blocks``  blocking-key table: for each entity key and day of its event time, the
-            first and last moment seen there and the representative of its cluster.
-            Partitioned by span of event time and hash bucket of the key; a batch reads
-            the partitions of its own keys and moments only, so that its cost follows
-            what was published near its moments, not how long the history is.
-``reps``    union-find mappings: which representative a former one was merged into.
-
-Both are read with minima and maxima only, so an append repeated by a retried
-task or a lost executor changes nothing, and no file is ever rewritten.
-
-Two rows of one key belong together when less than ``gap`` apart. All rows of a
-key in one bin of that width belong together by definition, so a cluster is a
-chain of bins; a key with a third of all rows is at most one row for each bin.
+State lives in a folder and survives its session (``Linker.open``):
+
+``blocks``  blocking-key table. A block is what is known of one key within one bin of
+            event time: first and last moment, the row first accepted there with its
+            compared fields, and, once its cluster was touched, the representative.
+            Generations of files, in buckets of the key's hash, sorted by the hash, with
+            pages of few rows. A batch opens the buckets of its keys only, and of these,
+            where it has few keys, only the pages that may hold them.
+``rows``    the accepted batches, as they were linked.
+``state``   weights, bucket count and generations; written last, so that a run that died
+            half way leaves the state before it.
+
+A batch is compared block by block with what its keys have: the vector (time gap, way of
+writing the id, agreement of each field) is scored with weights learned from the
+history, and a positive score joins two blocks. Clusters are the components (union-find)
+of joined blocks; a block's representative is the first accepted row of its cluster. Only
+blocks of touched clusters whose representative changed are written again; a block's
+current representative is the least of those written, so an append that a retried task
+repeats changes nothing. Generations are merged after every ``compact_every`` batches.
+
+All rows of a key in one bin lie less than ``gap`` apart, so a key with a third of all rows
+is at most one block for each bin, and is one row for each bin before any shuffle.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from hearthmill.session import materialize, new_path
+from hearthmill.session import new_path
 
 DAY_MS = 86_400_000
 
@@ -56,12 +67,14 @@ def event_ms(epoch: Column) -> Column:
     ).cast("long")
 
 
-def keyed(df: DataFrame, key: Column, moment_ms: Column, row_id: str, stage: Column, compared: dict[str, Column], gap: int = DAY_MS) -> DataFrame:
+def keyed(df: DataFrame, key: Column, moment_ms: Column, row_id: str, stage: Column, compared: dict[str, Column], gap: int = DAY_MS, written: Column | None = None) -> DataFrame:
     """Rows ready for linkage: (pid, ms, bin, who). ``who`` orders acceptance: stage, then id; compared fields ride along.
 
-    Rows whose key or moment is null take no part.
+    ``written``: the key as it stood in the source, compared as a level of its own. Rows whose key or moment
+    is null take no part.
     """
-    who = F.struct(stage.cast("int").alias("stage"), F.col(row_id).cast("long").alias("id"), *[c.alias(n) for n, c in compared.items()])
+    text = (key if written is None else written).cast("string")
+    who = F.struct(stage.cast("int").alias("stage"), F.col(row_id).cast("long").alias("id"), text.alias("written"), *[c.alias(n) for n, c in compared.items()])
     return (
         df.select(key.alias("pid"), moment_ms.alias("ms"), who.alias("who"))
         .where(F.col("pid").isNotNull() & F.col("ms").isNotNull())
@@ -69,162 +82,278 @@ def keyed(df: DataFrame, key: Column, moment_ms: Column, row_id: str, stage: Col
     )
 
 
+# --- comparison vectors and their weights -----------------------------------------------------
+
+#: levels of a compared field
+DIFFER, UNKNOWN, AGREE = 0, 1, 2
+
+
+def _level(a: Column, b: Column) -> Column:
+    return F.when(a.isNull() | b.isNull(), F.lit(UNKNOWN)).when(a == b, F.lit(AGREE)).otherwise(F.lit(DIFFER))
+
+
+def vector(a: str, b: str, near: Column, fields: list[str]) -> list[Column]:
+    """Comparison vector of two ``who`` structs: near in time (0 or 1), then the levels of the written id and of each field."""
+    return [near.cast("int"), *[_level(F.col(f"{a}.`{f}`"), F.col(f"{b}.`{f}`")) for f in ("written", *fields)]]
+
+
 @dataclass
 class Weights:
-    """Agreement and disagreement weights (bits) of the compared fields, learned from the history itself."""
+    """A logistic model over comparison vectors: evidence in bits, the log odds that two rows are the same advert."""
 
+    bias: float = 0.0
+    near: float = 1.0
     agree: dict[str, float] = field(default_factory=dict)
     differ: dict[str, float] = field(default_factory=dict)
 
-    def score(self, a: str, b: str) -> Column:
-        """Sum of weights of two ``who`` columns; a field null on either side weighs nothing."""
-        total = F.lit(0.0)
-        for f in self.agree:
-            x, y = F.col(f"{a}.`{f}`"), F.col(f"{b}.`{f}`")
-            total = total + F.when(x.isNull() | y.isNull(), F.lit(0.0)).when(x == y, F.lit(self.agree[f])).otherwise(F.lit(self.differ[f]))
+    def score(self, levels: list[Column], fields: list[str]) -> Column:
+        """Sum of the weights of a vector; an unknown level weighs nothing."""
+        total = F.lit(self.bias) + levels[0] * F.lit(self.near)
+        for f, level in zip(("written", *fields), levels[1:], strict=True):
+            total = total + F.when(level == AGREE, F.lit(self.agree.get(f, 0.0))).when(level == DIFFER, F.lit(self.differ.get(f, 0.0))).otherwise(F.lit(0.0))
         return total
 
 
-def learn_weights(rows: DataFrame, bins: DataFrame, fields: list[str], floor: float = 1e-6) -> Weights:
-    """Weights log2(m / u): m is how often a field agrees throughout a block, u how often it would by chance.
+def learn_weights(patterns: dict[tuple[int, ...], int], fields: list[str], ridge: float = 1e-3) -> Weights:
+    """Weights from the counts of comparison vectors in the history (at most ``2 * 3 ** (1 + fields)`` of them).
 
-    Both are counted over all rows: m over (key, bin) blocks of two rows or more (``bins`` has ``n`` and a
-    flag for each field), u as the chance that two random rows share a value. Nothing is sampled.
+    The label of a vector is the definition of a repeat: rows of one key that are near in time are the
+    same advert, others are not. Every possible vector is taught once besides, so that none is left
+    to chance, and a vector on the wrong side is taught again until all are on their own: with the
+    weights returned, the score alone decides as the definition does.
     """
-    if not fields:
-        return Weights()
-    m = bins.where("n > 1").agg(*[F.avg(F.col(f"same_{f}").cast("double")).alias(f) for f in fields]).first()
-    cells = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"who.`{f}`").cast("string").alias("v")) for f in fields])
-    counts = rows.select(F.inline(cells)).where("v IS NOT NULL").groupBy("f", "v").agg(F.count("*").cast("double").alias("c"))
-    u = {r.f: r.u for r in counts.groupBy("f").agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), 2)).alias("u")).collect()}  # a row for each field
-    w = Weights()
-    for f in fields:
-        p = min(max(m[f] if m[f] is not None else 0.9, floor), 1 - 1e-3)
-        q = min(max(u.get(f, 0.1), floor), 1 - 1e-3)
-        w.agree[f], w.differ[f] = math.log2(p / q), math.log2((1 - p) / (1 - q))
-    return w
+    names = ["written", *fields]
+    space = list(itertools.product((0, 1), *[(DIFFER, UNKNOWN, AGREE)] * len(names)))
+    x = np.array([[1.0, v[0], *[float(z == k) for z in v[1:] for k in (AGREE, DIFFER)]] for v in space])
+    y = np.array([float(v[0]) for v in space])
+    n = np.array([1.0 + patterns.get(v, 0) for v in space])
+    w = np.zeros(x.shape[1])
+    for _ in range(20):
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (n * (y - p)) - ridge * w
+            w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        wrong = (x @ w > 0) != (y > 0)
+        if not wrong.any():
+            break
+        n[wrong] *= 10
+    else:
+        raise RuntimeError("no weights reproduce the definition of a repeat")
+    bits = [float(v) / math.log(2) for v in w]
+    return Weights(bits[0], bits[1], dict(zip(names, bits[2::2], strict=True)), dict(zip(names, bits[3::2], strict=True)))
+
+
+# --- persisted state --------------------------------------------------------------------------
 
 
 class Linker:
     """Incremental linkage over persisted state; see the module text.
 
-    ``bootstrap`` takes the history once. ``accept`` takes one batch (or several, in
-    their order) and returns its repeats: (first_id, dup_id, score).
+    ``bootstrap`` takes the history once. ``accept`` takes one batch, or several that arrived together, in
+    the order of their stages, and returns its repeats: (first_id, dup_id, score).
+
+    ``buckets``: hash buckets of the key, a power of two; they are doubled when generations are merged and
+    hold more than ``rows_per_bucket`` blocks on average, without any upper limit. ``page_rows``: blocks in
+    a page. ``pushed_keys``: up to so many distinct keys a batch's keys are pushed into the scan.
     """
 
-    def __init__(self, spark: SparkSession, compared: list[str], gap: int = DAY_MS, rows_per_bucket: int = 500_000, span_bins: int = 32, learn: bool = True) -> None:
-        self.spark, self.compared, self.gap, self.rows_per_bucket, self.span_bins, self.learn = spark, compared, gap, rows_per_bucket, span_bins, learn
-        self.root = new_path(spark, "linker")
-        self.buckets, self.generation, self.merges = 1, 0, 0
+    def __init__(
+        self, spark: SparkSession, compared: list[str], gap: int = DAY_MS, root: str | None = None, buckets: int = 32, rows_per_bucket: int = 65_536, page_rows: int = 128, pushed_keys: int = 256, compact_every: int = 16
+    ) -> None:
+        self.spark, self.compared, self.gap = spark, compared, gap
+        self.root = root or new_path(spark, "linker")
+        self.buckets, self.rows_per_bucket, self.page_rows, self.pushed_keys, self.compact_every = buckets, rows_per_bucket, page_rows, pushed_keys, compact_every
+        self.number, self.version = 0, 0  # of the next generation and state
+        self.generations: list[str] = []
+        self.batches: list[str] = []
         self.weights = Weights()
-        self._schema = self._rows_schema = None
-        self._deltas: list[str] = []
+        self._blocks_schema: T.StructType | None = None
+        self._rows_schema: T.StructType | None = None
 
     # --- state
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("pid"), F.lit(self.buckets)).cast("int")
-
-    def _span(self) -> Column:
-        return F.floor(F.col("bin") / self.span_bins).cast("int")
-
-    def _append(self, chains: DataFrame) -> DataFrame:
-        """Write one generation of block rows and return it as read back."""
-        path = f"{self.root}/blocks/generation={self.generation:06d}"
-        df = chains.withColumn("span", self._span()).withColumn("bucket", self._bucket())
-        self._schema = df.schema
-        df.repartition("span", "bucket").sortWithinPartitions("span", "bucket", "pid", "bin").write.partitionBy("span", "bucket").parquet(path)
-        self.generation += 1
-        self._deltas.append(path)
-        return self._read([path])
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self._schema).option("recursiveFileLookup", "false").option("basePath", f"{self.root}/blocks").parquet(*paths)
-
-    def _resolve(self, hits: DataFrame) -> DataFrame:
-        """Representatives as they are now."""
-        if not self.merges:
-            return hits
-        reps = self.spark.read.parquet(f"{self.root}/reps").groupBy("old_stage", "old_id").agg(F.min("new").alias("new"))
-        on = (F.col("rep.stage") == F.col("old_stage")) & (F.col("rep.id") == F.col("old_id"))
-        return hits.join(reps, on, "left").withColumn("rep", F.coalesce("new", "rep")).select(*hits.columns)
-
-    def _remember(self, delta: DataFrame) -> None:
-        """Record merges of clusters; mappings that ended in a merged representative follow it."""
-        new = (
-            delta.where("old.stage <> rep.stage OR old.id <> rep.id")
-            .select(F.col("old.stage").alias("old_stage"), F.col("old.id").alias("old_id"), F.col("rep").alias("new"))
-            .distinct()
-        )
-        if new.isEmpty():
-            return
-        path = f"{self.root}/reps"
-        if self.merges:
-            m = new.select(F.col("old_stage").alias("ms"), F.col("old_id").alias("mi"), F.col("new").alias("target"))
-            before = self.spark.read.parquet(path)
-            follow = before.join(m, (F.col("new.stage") == F.col("ms")) & (F.col("new.id") == F.col("mi"))).select("old_stage", "old_id", F.col("target").alias("new"))
-            new = new.unionByName(follow)
-        new.coalesce(1).write.mode("append").parquet(path)
-        self.merges += 1
-
-    # --- chains
-
-    def _chain(self, bins: DataFrame) -> DataFrame:
-        """``bins`` (pid, bin, lo, hi, who, old) with ``rep``: the first accepted of its chain."""
-        w = W.partitionBy("pid").orderBy("bin")
-        breaks = (F.col("bin") - F.lag("bin").over(w) > 1) | (F.col("lo") - F.lag("hi").over(w) >= self.gap) | F.lag("bin").over(w).isNull()
-        c = bins.withColumn("part", F.sum(breaks.cast("int")).over(w))
-        return c.withColumn("rep", F.min("who").over(W.partitionBy("pid", "part"))).drop("part")
-
-    def _bins(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("pid", "bin").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.min("who").alias("who"))
+    def save(self) -> Linker:
+        """Write the state; what was written before stays until then the one that is opened."""
+        own = ("compared", "gap", "buckets", "rows_per_bucket", "page_rows", "pushed_keys", "compact_every", "number", "generations", "batches")
+        data = {k: getattr(self, k) for k in own} | {"weights": asdict(self.weights)}
+        for k in ("_blocks_schema", "_rows_schema"):
+            data[k] = getattr(self, k).json() if getattr(self, k) is not None else None
+        self.spark.createDataFrame([(json.dumps(data),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/state/version={self.version:09d}")
+        self.version += 1
+        return self
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Linker:
+        """Go on where a former session stopped."""
+        r = spark.read.text(f"{root}/state").orderBy(F.desc("version")).first()
+        data = json.loads(r["value"])
+        own = cls(spark, data.pop("compared"), data.pop("gap"), root)
+        own.weights = Weights(**data.pop("weights"))
+        for k in ("_blocks_schema", "_rows_schema"):
+            text = data.pop(k)
+            setattr(own, k, T.StructType.fromJson(json.loads(text)) if text else None)
+        for k, v in data.items():
+            setattr(own, k, v)
+        own.version = int(r["version"]) + 1
+        return own
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``h``, the hash of its key, and ``bucket``, its leading bits: buckets are ranges of the hash that do not overlap."""
+        h = F.xxhash64("pid")
+        bits = self.buckets.bit_length() - 1
+        return df.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0))
+
+    def _write(self, blocks: DataFrame, folders: bool = True) -> None:
+        """Write one generation of blocks that lie in their buckets' partitions already; a batch's, which is small, without a folder for each bucket."""
+        path = f"{self.root}/blocks/generation={self.number:06d}"
+        self.number += 1
+        if self._blocks_schema is None:
+            self._blocks_schema = _plain_schema(blocks.schema)
+        blocks = blocks.select(*[F.col(f.name).cast(f.dataType) for f in self._blocks_schema])
+        w = blocks.sortWithinPartitions("bucket", "h", "pid", "bin").write.mode("overwrite")
+        w = w.option("parquet.page.row.count.limit", str(self.page_rows)).option("parquet.enable.dictionary", "false")
+        (w.partitionBy("bucket") if folders else w).parquet(path)
+        self.generations.append(path)
+
+    def _blocks(self, paths: list[str] | None = None) -> DataFrame:
+        """Blocks as written, possibly several of one key and bin."""
+        paths = self.generations if paths is None else paths
+        if not paths:
+            return self.spark.createDataFrame([], self._blocks_schema)
+        one = [self.spark.read.schema(self._blocks_schema).parquet(p) for p in paths]
+        return reduce(DataFrame.unionByName, one)
+
+    @staticmethod
+    def _folded(blocks: DataFrame, *also: str) -> DataFrame:
+        """One block for each key and bin."""
+        return blocks.groupBy(*also, "pid", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("who").alias("who"), F.min("rep").alias("rep"))
+
+    # --- clusters
+
+    def _near(self, lo: Column, before: Column) -> Column:
+        return F.coalesce(lo - before["hi"] < self.gap, F.lit(False))
+
+    def _joins(self, before: str, own: str = "who", lo: str = "lo") -> Column:
+        """Whether the score joins a block to the block of its key before it."""
+        v = vector(f"{before}.who", own, self._near(F.col(lo), F.col(before)), self.compared)
+        return F.col(before).isNotNull() & (self.weights.score(v, self.compared) > 0)
 
     def bootstrap(self, rows: DataFrame) -> Linker:
-        """Take the history (rows as made by :func:`keyed`)."""
-        rows = materialize(rows, "history-rows")  # parsed once, read for the blocks and for the weights
-        same = [(F.min(f"who.`{f}`").eqNullSafe(F.max(f"who.`{f}`")) & F.min(f"who.`{f}`").isNotNull()).alias(f"same_{f}") for f in self.compared]
-        bins = materialize(
-            rows.groupBy("pid", "bin").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.min("who").alias("who"), F.count("*").alias("n"), *same), "history-bins"
-        )
-        self.buckets = max(1, min(4096, bins.count() // self.rows_per_bucket + 1))
-        if self.learn:
-            self.weights = learn_weights(rows, bins, self.compared)
-        self._append(self._chain(bins).select("pid", "bin", "lo", "hi", "rep", F.col("rep").alias("old")))
-        return self
+        """Take the history (rows as made by :func:`keyed`): one block for each key and bin, and the weights."""
+        fields = ["written", *self.compared]
+        same = [
+            F.when(F.count(f"who.`{f}`") < F.count("*"), UNKNOWN).when(F.min(f"who.`{f}`") == F.max(f"who.`{f}`"), AGREE).otherwise(DIFFER).alias(f"in_{f}") for f in fields
+        ]  # levels of a block's own rows
+        bins = rows.groupBy("pid", "bin").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.min("who").alias("who"), F.count("*").alias("n"), *same)
+        placed = self._bucketed(bins).repartition("bucket")
+        w = W.partitionBy("bucket", "pid").orderBy("bin")
+        prior = placed.withColumn("before", F.lag(F.struct("hi", "who")).over(w))
+        v = vector("before.who", "who", self._near(F.col("lo"), F.col("before")), self.compared)
+        within = F.when(F.col("n") > 1, F.concat_ws(",", F.lit(1), *[f"in_{f}" for f in fields])).alias("inside")
+        across = F.when(F.col("before").isNotNull(), F.concat_ws(",", *v)).alias("across")
+        no_rep = F.lit(None).cast(bins.schema["who"].dataType).alias("rep")
+        self._write(prior.select("h", "pid", "bin", "lo", "hi", "who", no_rep, within, across, "bucket"))
+        # the vectors seen in the history, at most as many as there are levels
+        taught = self._blocks().select(F.explode(F.array("inside", "across")).alias("v")).where("v IS NOT NULL").groupBy("v").count().collect()
+        self.weights = learn_weights({tuple(map(int, r.v.split(","))): r["count"] for r in taught}, self.compared)
+        return self.save()
+
+    def _known(self, batch: DataFrame) -> DataFrame:
+        """Blocks of a batch's keys, from its buckets, and from the pages of its keys where these are few."""
+        touched = batch.groupBy("bucket").agg(F.count_distinct("h").alias("n")).collect()  # a row for each bucket
+        known = self._blocks()
+        if len(touched) < self.buckets:
+            known = known.where(F.col("bucket").isin(sorted(r.bucket for r in touched)))
+        if sum(r.n for r in touched) <= self.pushed_keys:
+            known = known.where(_any_of("h", sorted(r.h for r in batch.select("h").distinct().collect())))
+        mine = batch.select("bucket", "pid").distinct()
+        return self._folded(known.repartition("bucket").join(mine, ["bucket", "pid"], "left_semi"), "bucket", "h")
 
     def accept(self, rows: DataFrame) -> DataFrame:
         """Hold a batch against everything accepted before, then accept it.
 
-        Of rows in the batch itself the earliest counts as accepted before the others.
-        Reads the partitions of the batch's keys and moments, touches the clusters of those keys only.
+        Of rows in the batch itself the earliest (stage, then id) counts as accepted before the others.
         """
-        self._rows_schema = rows.schema
-        kept = f"{self.root}/rows/generation={self.generation:06d}"
-        rows.write.parquet(kept)
-        rows = self.spark.read.schema(self._rows_schema).parquet(kept)
-        mine = self._bins(rows)
-        probe = mine.select("pid", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
-        # at most as many rows as the block table has partitions
-        touched = rows.select(self._bucket().alias("b"), F.explode(F.array(F.col("bin") - 1, F.col("bin") + 1)).alias("bin")).select("b", self._span().alias("s")).distinct().collect()
-        blocks = self._read(self._deltas).where(F.col("span").isin(sorted({r.s for r in touched})) & F.col("bucket").isin(sorted({r.b for r in touched})))
-        hits = blocks.join(probe, ["pid", "bin"]).groupBy("pid", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("rep").alias("rep"))
-        hits = self._resolve(hits)
-        both = mine.select("pid", "bin", "lo", "hi", "who", F.lit(None).cast(rows.schema["who"].dataType).alias("old")).unionByName(
-            hits.select("pid", "bin", "lo", "hi", F.col("rep").alias("who"), F.col("rep").alias("old"))
+        path = f"{self.root}/rows/generation={self.number:06d}"
+        rows.write.mode("overwrite").parquet(path)
+        self._rows_schema = _plain_schema(rows.schema)
+        rows = self.spark.read.schema(self._rows_schema).parquet(path)
+        mine = self._bucketed(rows.groupBy("pid", "bin").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.min("who").alias("who"))).repartition("bucket")
+        kind, none = rows.schema["who"].dataType, F.lit(None)
+        both = mine.select("bucket", "h", "pid", "bin", "lo", "hi", "who", none.cast(kind).alias("old"), none.cast("long").alias("old_lo"), none.cast("long").alias("old_hi"), F.lit(True).alias("new"))
+        if self.generations:
+            known = self._known(mine)
+            both = both.unionByName(known.select("bucket", "h", "pid", "bin", "lo", "hi", "who", F.col("who").alias("old"), F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"), F.lit(False).alias("new")))
+        blocks = both.groupBy("bucket", "h", "pid", "bin").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("who").alias("who"), F.min("old").alias("old"), F.min("old_lo").alias("old_lo"), F.max("old_hi").alias("old_hi"), F.max("new").alias("new")
         )
-        bins = both.groupBy("pid", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("who").alias("who"), F.min("old").alias("old"))
-        delta = self._append(self._chain(bins).select("pid", "bin", "lo", "hi", "rep", "old"))
-        self._remember(delta)
-        return self._links(rows, delta, [])
+        w = W.partitionBy("bucket", "pid").orderBy("bin")
+        upto = w.rowsBetween(W.unboundedPreceding, -1)
+        seen = F.col("old").isNotNull()
+        c = blocks.withColumn("before", F.lag(F.struct("hi", "who")).over(w)).withColumn("before_old", F.last(F.when(seen, F.struct(F.col("old_hi").alias("hi"), F.col("old").alias("who"))), ignorenulls=True).over(upto))
+        c = c.withColumn("part", F.sum((~self._joins("before")).cast("int")).over(w))
+        c = c.withColumn("part_old", F.sum((seen & ~self._joins("before_old", "old", "old_lo")).cast("int")).over(w))
+        now = F.min("who").over(W.partitionBy("bucket", "pid", "part"))
+        former = F.when(seen, F.min("old").over(W.partitionBy("bucket", "pid", "part_old")))
+        changed = c.withColumn("rep", now).withColumn("former", former).where(F.col("new") | (F.col("former.id") != F.col("rep.id")) | (F.col("former.stage") != F.col("rep.stage")))
+        at = len(self.generations)
+        self._write(changed.select("h", "pid", "bin", "lo", "hi", "who", "rep", none.cast("string").alias("inside"), none.cast("string").alias("across"), "bucket"), folders=False)
+        self.batches.append(path)
+        delta = self._blocks([self.generations[at]])
+        if len(self.generations) > self.compact_every:
+            self.compact()
+        self.save()
+        return self._links(rows, delta)
+
+    def compact(self, all_of_it: bool = False) -> None:
+        """Merge the generations of batches into one, and into the history's when they have grown to a fourth of it.
+
+        Files that are no longer named by the state stay until the folder is swept: a batch that is being read may need them.
+        """
+        first, later = self.generations[:1], self.generations[1:]
+        if not later and not all_of_it:
+            return
+        if all_of_it or self._blocks(later).count() * 4 > self._blocks(first).count():
+            later, first = self.generations, []
+        blocks = self._blocks(later)
+        if not first:
+            while blocks.count() > self.buckets * self.rows_per_bucket:
+                self.buckets *= 2
+        none = F.lit(None).cast("string")
+        merged = self._bucketed(self._folded(blocks)).repartition("bucket").select("h", "pid", "bin", "lo", "hi", "who", "rep", none.alias("inside"), none.alias("across"), "bucket")
+        self.generations = first
+        self._write(merged)
+
+    # --- links
 
     def links(self) -> DataFrame:
-        """The repeats of all batches accepted so far, from their stored rows and block rows in one join."""
-        if self._rows_schema is None:
+        """The repeats of all batches accepted so far, under the representatives of now."""
+        if not self.batches:
             return self.spark.createDataFrame([], "first_id bigint, dup_id bigint, score double")
-        rows = self.spark.read.schema(T.StructType([*self._rows_schema, T.StructField("generation", T.IntegerType())])).parquet(f"{self.root}/rows")
-        return self._links(rows, self._read(self._deltas[1:]), ["generation"])
+        return self._links(self.spark.read.schema(self._rows_schema).parquet(*self.batches), self._blocks(self.generations[1:] if self._bootstrapped() else None))
+
+    def _bootstrapped(self) -> bool:
+        """Whether the first generation is the history's alone, which no batch has touched."""
+        return bool(self.generations) and self.generations[0].endswith("=000000") and not self.batches[0].endswith("=000000")
+
+    def _links(self, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Rows under another row's representative; what the score of row and block does not bear out is no link."""
+        reps = blocks.where("rep IS NOT NULL").groupBy("pid", "bin").agg(F.min("rep").alias("rep"))
+        found = rows.join(reps, ["pid", "bin"]).where("who.stage <> rep.stage OR who.id <> rep.id")
+        score = self.weights.score(vector("rep", "who", F.lit(True), self.compared), self.compared)
+        return found.select(F.col("rep.id").alias("first_id"), F.col("who.id").alias("dup_id"), score.alias("score")).where("score > 0")
+
+
+def _plain_schema(schema: T.StructType) -> T.StructType:
+    """The same types, every field nullable, as files are read."""
+    return T.StructType([T.StructField(f.name, T._parse_datatype_string(f.dataType.simpleString())) for f in schema])
+
 
-    def _links(self, rows: DataFrame, delta: DataFrame, also: list[str]) -> DataFrame:
-        on = [*also, "pid", "bin"]
-        found = rows.join(delta.select(*on, "rep"), on).where("who.stage <> rep.stage OR who.id <> rep.id")
-        return found.select(F.col("rep.id").alias("first_id"), F.col("who.id").alias("dup_id"), self.weights.score("rep", "who").alias("score"))
+def _any_of(name: str, values: list[int]) -> Column:
+    """``name`` equals one of the values, as a balanced tree: unlike a long list it reaches the column index of the files."""
+    if not values:
+        return F.lit(False)
+    if len(values) == 1:
+        return F.col(name) == F.lit(values[0])
+    mid = len(values) // 2
+    return _any_of(name, values[:mid]) | _any_of(name, values[mid:])

@@ -91,18 +91,14 @@ def p2_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def _linkable(df: DataFrame, stage) -> DataFrame:
     compared = {"price": F.col("price").cast("double"), "county": F.lower(F.trim("county")), "title": F.lower(F.trim("title"))}
-    return linkage.keyed(df, linkage.property_key(F.col("property_id")), linkage.event_ms(F.col("publish_date")), "id", stage, compared)
+    return linkage.keyed(df, linkage.property_key(F.col("property_id")), linkage.event_ms(F.col("publish_date")), "id", stage, compared, written=F.col("property_id"))
 
 
-def _arrival_links(spark: SparkSession, sf: str) -> DataFrame:
-    cols = ["id", "property_id", "publish_date", "price", "county", "title"]
-    linker = linkage.Linker(spark, ["price", "county", "title"])
-    linker.bootstrap(_linkable(table(spark, sf, "raw_daft_listings").select(*cols), F.lit(0)))
-    arrivals = table(spark, sf, "listing_arrivals").select("batch_no", *cols)
-    for no in [r[0] for r in arrivals.select("batch_no").distinct().orderBy("batch_no").collect()]:  # one number for each batch
-        batch = arrivals.where(F.col("batch_no") == no) if no is not None else arrivals.where("batch_no IS NULL")
-        linker.accept(_linkable(batch, F.coalesce(F.col("batch_no"), F.lit(0)) + 1))
-    return linker.links()
+_LINK_COLUMNS = ["id", "property_id", "publish_date", "price", "county", "title"]
+
+
+def _history_linker(spark: SparkSession, sf: str) -> linkage.Linker:
+    return linkage.Linker(spark, ["price", "county", "title"]).bootstrap(_linkable(table(spark, sf, "raw_daft_listings").select(*_LINK_COLUMNS), F.lit(0)))
 
 
 _REPEATS_SQL = r"""
@@ -123,13 +119,35 @@ SELECT first_id, id AS dup_id FROM f WHERE stage > 0 AND first_id <> id
 
 @_query("p3_found", _REPEATS_SQL)
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _arrival_links(spark, sf).select("first_id", "dup_id")
+    """The batches lie there together, so they are held against the history in one pass, in the order of batch_no and id."""
+    linker = _history_linker(spark, sf)
+    linker.accept(_linkable(table(spark, sf, "listing_arrivals").select("batch_no", *_LINK_COLUMNS), F.coalesce("batch_no", F.lit(0)) + 1))
+    return linker.links().select("first_id", "dup_id")
 
 
-@_query("p3_links")
+@_query(
+    "p3_links",
+    _REPEATS_SQL.replace("SELECT first_id, id AS dup_id FROM f WHERE stage > 0 AND first_id <> id", "").rstrip()
+    + """,
+a AS (SELECT id, 0 AS batch_no, price FROM raw_daft_listings UNION ALL SELECT id, batch_no, price FROM listing_arrivals)
+SELECT f.first_id, f.id AS dup_id, d.batch_no, coalesce(d.price = o.price, FALSE) AS same_price, TRUE AS likely
+FROM f JOIN a d ON d.id = f.id JOIN a o ON o.id = f.first_id WHERE f.stage > 0 AND f.first_id <> f.id
+""",
+)
 def p3_links(spark: SparkSession, sf: str) -> DataFrame:
-    """The same links with the learned score of their other fields (bits for agreement less bits for difference)."""
-    return _arrival_links(spark, sf).select("first_id", "dup_id", F.round("score", 3).alias("score"))
+    """The same repeats, batch after batch as they arrive, each by a linker that is opened from what the last one left.
+
+    ``likely``: the learned score of row and first accepted row is in favour.
+    """
+    root = _history_linker(spark, sf).root
+    arrivals = table(spark, sf, "listing_arrivals").select("batch_no", *_LINK_COLUMNS)
+    for no in [r[0] for r in arrivals.select("batch_no").distinct().orderBy("batch_no").collect()]:  # one number for each batch
+        batch = arrivals.where(F.col("batch_no") == no) if no is not None else arrivals.where("batch_no IS NULL")
+        linkage.Linker.open(spark, root).accept(_linkable(batch, F.coalesce("batch_no", F.lit(0)) + 1))
+    linked = linkage.Linker.open(spark, root).links()
+    prices = table(spark, sf, "raw_daft_listings").select("id", F.col("price").alias("first_price")).unionByName(arrivals.select("id", F.col("price").alias("first_price")))
+    out = linked.join(arrivals.select(F.col("id").alias("dup_id"), "batch_no", "price"), "dup_id").join(prices.withColumnRenamed("id", "first_id"), "first_id")
+    return out.select("first_id", "dup_id", "batch_no", F.coalesce(F.col("price") == F.col("first_price"), F.lit(False)).alias("same_price"), (F.col("score") > 0).alias("likely"))
 
 
 # --- 5: free-entered values -------------------------------------------------------------------
