@@ -3,26 +3,30 @@
 Words become classes: groups of function words keep their group, content words
 are one class, and numbers, codes, addresses, hash tags and marks have theirs.
 An interpolated n-gram model over classes is trained on all prose sentences of
-the corpus, those that end like a sentence and hold function words. Whether a
-content word, or a pair of words, repeats one shortly before is scored apart,
-by how often it does in prose, so that a chain of repeats stays improbable.
+the corpus, those that end like a sentence and hold function words. Its counts are
+damped to a power below one, so that it learns which sequences prose uses rather than
+how often the templates of one corpus do. Whether a content word, or a pair of
+words, repeats one shortly before is scored apart, by how often it does in prose, so
+that a chain of repeats stays improbable.
 
 Each sentence or line of a page gets its mean surprise (the log of its
-perplexity). A page is flagged when sentences of abnormally high or low surprise
-make up more than half of its characters.
-
-The model is a table of class n-grams, at most ``classes ** order`` counts
-whatever the corpus; counting runs over all documents and is summed in Spark.
+perplexity). What is abnormal follows from the model itself: the limits for each
+class of length are the median surprise of the corpus's own prose, plus and minus
+``spread`` times the distance from there to its 95th and 5th percentile. A page is
+flagged when abnormal sentences make up more than half of its characters.
+
+Everything runs on whole Arrow batches: characters, tokens and sentences are numpy
+arrays, no loop touches a token. Model and limits are tables of a fixed size, counted
+over all documents and summed in Spark.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,208 +56,401 @@ FUNCTION_WORDS = {
     " und oder aber wenn weil dass sowie als wie dagegen"
     " o pero porque cuando como donde incluso",
 }
-_GROUP = {w: g for g, ws in reversed(FUNCTION_WORDS.items()) for w in ws.split()}
-ORDER = 4
+#: token classes: function-word groups, then content word, number, code, address, hash tag, end mark, comma, other mark, and the sentence's beginning
 CLASSES = "DPRAC" + "cNKUHEMX" + "^"
+ORDER = 4
+_K = 16  # room for a class: four bits
+_AT = {c: i for i, c in enumerate(CLASSES)}
+_WORDS = _AT["c"]  # classes up to here are words
+NEW, AGAIN, PAIR = 0, 1, 2  # marks: a word not used shortly before, one used, a pair of words used
+
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
+_LINK_TAG = re.compile(r"<a\s[^<>]*\bhref", re.IGNORECASE)
+_BLOCK_TAG = re.compile(r"</?(?:li|p|div|br|tr|h[1-6]|ul|ol|table|section|article|blockquote)\b", re.IGNORECASE)
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+", re.IGNORECASE)
+_HELD = "\ue000"  # stands for the characters of an address
+
+# --- characters -------------------------------------------------------------------------------
+
+_LETTER, _DIGIT, _SPACE, _LINE, _COMMA, _END, _QUOTE, _HYPHEN, _HASH, _MONEY, _LINK, _OTHER = range(12)
+
+
+def _character_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower-case form of each character of the basic plane; the one entry behind it stands for all others."""
+    kind, low = np.full(65537, _OTHER, np.uint8), np.arange(65537, dtype=np.uint32)
+    for i in range(65536):
+        c = chr(i)
+        if c.isalpha():
+            kind[i] = _LETTER
+            if len(x := c.lower()) == 1:
+                low[i] = min(ord(x), 65536)
+        elif c.isalnum() or c == "_":
+            kind[i] = _DIGIT
+        elif c.isspace():
+            kind[i] = _SPACE
+    for chars, k in (("\n", _LINE), (",", _COMMA), (".!?", _END), ("'\u2019", _QUOTE), ("-", _HYPHEN), ("#", _HASH), ("€$£", _MONEY), (_HELD, _LINK)):
+        for c in chars:
+            kind[ord(c)] = k
+    return kind, low
+
+
+_KIND, _LOW = _character_tables()
+_POWER = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))  # wraps around
+
+
+def _hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of characters."""
+    offset = np.arange(len(codes)) - np.repeat(starts, lengths)
+    return np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _POWER[offset % 4096], starts)
 
-_TAG = re.compile(r"<[^<>]{1,300}>")
-_TOKEN = re.compile(
-    # plain words come early, as most tokens are; one with a digit or a hyphenated number behind it is a code
-    r"(?P<U>(?i:https?://|www\.)\S+)|(?P<W>[^\W\d_]+(?:['’][^\W\d_]+)*)(?!\w|-\d)|(?P<L>\n)|(?P<M>,)|(?P<E>[.!?]+)"
-    r"|(?P<H>#\w+)|(?P<K>\w*[^\W\d_]\w*-?\d\w*)|(?P<N>[€$£]?\d[\d.,]*)|(?P<X>[^\s\w])"
-)
 
+def _function_table() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the function words, and the class of each."""
+    group = {w: _AT[g] for g, ws in reversed(FUNCTION_WORDS.items()) for w in ws.split()}
+    texts = list(group)
+    codes = np.array([ord(c) for w in texts for c in w], np.uint32)
+    lengths = np.array(list(map(len, texts)))
+    h = _hashes(codes, np.cumsum(lengths) - lengths, lengths)
+    order = np.argsort(h)
+    return h[order], np.array(list(group.values()), np.uint8)[order]
 
-def sentences(text: str, near: int = 25, near_pair: int = 40) -> list[tuple[int, str, str]]:
-    """(characters, classes, repeats) of each sentence or line; the characters add up to the text's.
 
-    ``repeats`` has a letter for each class: r a content word used within the last ``near``
-    content words, b a part of a word pair used within the last ``near_pair`` tokens, - neither.
+_FUNCTION_HASH, _FUNCTION_CLASS = _function_table()
+
+
+# --- tokens and sentences ---------------------------------------------------------------------
+
+
+@dataclass
+class Pages:
+    """Texts of a batch as tokens (class, and mark in the upper bits) in sentences.
+
+    ``sizes`` and ``chars``: tokens and characters of each sentence; ``sentences``: number of sentences of each text.
+    The characters of a text's sentences add up to the text's.
     """
-    plain = _TAG.sub(lambda m: " " * len(m[0]), text) if "<" in text else text
-    out: list[tuple[int, str, str]] = []
-    classes: list[str] = []
-    marks: list[str] = []
-    seen: dict[str, int] = {}
-    pairs: dict[tuple[str, str], int] = {}
-    last: str | None = None
-    start = content = tokens = 0
-    for m in _TOKEN.finditer(plain):
-        k = m.lastgroup
-        if k == "L":
-            if classes:
-                out.append((m.end() - start, "".join(classes), "".join(marks)))
-                classes, marks, start = [], [], m.end()
-            continue
-        mark = "-"
-        if k == "W":
-            w = m[0].lower()
-            g = _GROUP.get(w)
-            if g is None:
-                k = "c"
-                content += 1
-                if content - seen.get(w, -near - 1) <= near:
-                    mark = "r"
-                seen[w] = content
-            else:
-                k = g
-            if last is not None and not (g and last in _GROUP):
-                if tokens - pairs.get((last, w), -near_pair - 1) <= near_pair:
-                    mark = "b"
-                    if marks:
-                        marks[-1] = "b"
-                pairs[last, w] = tokens
-            last = w
-        else:
-            last = None
-        tokens += 1
-        classes.append(k)
-        marks.append(mark)
-        if k == "E":
-            out.append((m.end() - start, "".join(classes), "".join(marks)))
-            classes, marks, start = [], [], m.end()
-    if classes:
-        out.append((len(text) - start, "".join(classes), "".join(marks)))
-    elif out:
-        out[-1] = (out[-1][0] + len(text) - start, *out[-1][1:])
+
+    tokens: np.ndarray
+    sizes: np.ndarray
+    chars: np.ndarray
+    sentences: np.ndarray
+
+
+def _plain_tag(m: re.Match) -> str:
+    """A link is an address, the tag of a block a line end, any other tag blank."""
+    n = len(m[0])
+    return _HELD * n if _LINK_TAG.match(m[0]) else " " * (n - 1) + "\n" if _BLOCK_TAG.match(m[0]) else " " * n
+
+
+def _blanked(text: str) -> str:
+    """Markup and addresses without their words, at the same length."""
+    if "<" in text:
+        text = _TAG.sub(_plain_tag, text)
+    if "://" in text or "www." in text or "WWW." in text or "Www." in text:
+        text = _ADDRESS.sub(lambda m: _HELD * len(m[0]), text)
+    return text
+
+
+def _shifted(x: np.ndarray, by: int, fill: int) -> np.ndarray:
+    """``x`` moved right (``by`` > 0) or left."""
+    out = np.full_like(x, fill)
+    if by > 0:
+        out[by:] = x[:-by]
+    else:
+        out[:by] = x[-by:]
     return out
 
 
-def is_prose(classes: str) -> bool:
+def _recent(groups: np.ndarray, key: np.ndarray, place: np.ndarray, reach: int) -> np.ndarray:
+    """Whether the same key occurs in the same group at most ``reach`` places before."""
+    mixed = key + groups.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    order = np.argsort(mixed, kind="stable")  # places grow within a group
+    g, k, p = groups[order], key[order], place[order]
+    hit = np.zeros(len(order), bool)
+    hit[1:] = (g[1:] == g[:-1]) & (k[1:] == k[:-1]) & (p[1:] - p[:-1] <= reach)
+    out = np.empty(len(order), bool)
+    out[order] = hit
+    return out
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """Number of each element within its group (groups are runs)."""
+    if not len(groups):
+        return np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    return np.arange(len(groups)) - np.repeat(first, np.diff(np.r_[first, len(groups)]))
+
+
+def parse(texts: list[str], near: int = 25, near_pair: int = 40) -> Pages:
+    """Tokens and sentences of texts.
+
+    A word is marked as used before if it is a content word used within the last ``near`` content words, or
+    part of a pair of words used within the last ``near_pair`` tokens. Sentences end at end marks and lines.
+    """
+    lengths = np.array(list(map(len, texts)), np.int64)
+    # a line end behind every text keeps runs of two texts apart
+    joined = "\n".join(map(_blanked, texts)) + "\n"
+    codes = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 65536)
+    kind = _KIND[codes]
+    doc = np.repeat(np.arange(len(texts)), lengths + 1)
+    prev, nxt = _shifted(kind, 1, _LINE), _shifted(kind, -1, _LINE)
+    # marks that belong to the word or number around them
+    joins = ((kind == _QUOTE) & (prev == _LETTER) & (nxt == _LETTER)) | ((kind == _HYPHEN) & (prev == _LETTER) & (nxt == _DIGIT))
+    joins |= ((kind == _COMMA) | (kind == _END)) & (prev == _DIGIT) & (nxt == _DIGIT)
+    leads = ((kind == _HASH) & (nxt <= _DIGIT)) | ((kind == _MONEY) & (nxt == _DIGIT))
+    body = (kind <= _DIGIT) | joins
+    kept = (kind != _SPACE) & (kind != _LINE)
+    goes_on = (body & _shifted((body | leads).astype(np.uint8), 1, 0).astype(bool)) | ((kind == prev) & ((kind == _END) & ~joins & ~_shifted(joins.astype(np.uint8), 1, 0).astype(bool) | (kind == _LINK)))
+    starts = np.flatnonzero(kept & ~goes_on)
+    if not len(starts):
+        return Pages(np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(texts), np.int64))
+    # a token ends where its run does
+    inside = kept & goes_on
+    runs = np.flatnonzero(np.r_[~inside, True])
+    ends = runs[np.searchsorted(runs, starts + 1)]
+    size = ends - starts
+    flat = np.repeat(starts, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+    begin = np.cumsum(size) - size
+    letters = np.add.reduceat((kind[flat] == _LETTER).astype(np.int64), begin)
+    digits = np.add.reduceat((kind[flat] == _DIGIT).astype(np.int64), begin)
+    first = kind[starts]
+    cls = np.full(len(starts), _AT["X"], np.uint8)
+    for k, c in ((_COMMA, "M"), (_END, "E"), (_LINK, "U")):
+        cls[first == k] = _AT[c]
+    cls[(letters > 0) & (digits == 0)] = _AT["c"]
+    cls[(digits > 0) & (letters == 0)] = _AT["N"]
+    cls[(digits > 0) & (letters > 0)] = _AT["K"]
+    cls[(first == _HASH) & (size > 1)] = _AT["H"]
+    h = _hashes(_LOW[codes[flat]], begin, size)
+    at = np.minimum(np.searchsorted(_FUNCTION_HASH, h), len(_FUNCTION_HASH) - 1)
+    known = (cls == _WORDS) & (_FUNCTION_HASH[at] == h)
+    cls[known] = _FUNCTION_CLASS[at[known]]
+    tdoc = doc[starts]
+    # sentences: a new one behind an end mark, and behind a line end
+    lines = np.cumsum(kind == _LINE)[starts]
+    opens = np.r_[True, (cls[:-1] == _AT["E"]) | (lines[1:] != lines[:-1])]
+    # repeats
+    mark = np.zeros(len(starts), np.uint8)
+    content = np.flatnonzero(cls == _WORDS)
+    if len(content):
+        mark[content[_recent(tdoc[content], h[content], _places(tdoc[content]), near)]] = AGAIN
+    word = cls <= _WORDS
+    pair = np.flatnonzero(word[1:] & word[:-1] & (tdoc[1:] == tdoc[:-1]) & ((cls[1:] == _WORDS) | (cls[:-1] == _WORDS))) + 1
+    if len(pair):
+        both = h[pair - 1] * np.uint64(0x9E3779B97F4A7C15) + h[pair]
+        again = pair[_recent(tdoc[pair], both, _places(tdoc)[pair], near_pair)]
+        mark[again] = PAIR
+        mark[again[~opens[again]] - 1] = PAIR
+    head = np.flatnonzero(opens)
+    sizes = np.diff(np.r_[head, len(starts)])
+    sdoc = tdoc[head]
+    # a sentence's characters reach to the end of its mark or line, the last one's to the text's end
+    last = head + sizes - 1
+    line_ends = np.flatnonzero(kind == _LINE)
+    stop = np.where(cls[last] == _AT["E"], ends[last], line_ends[np.searchsorted(line_ends, ends[last])] + 1)
+    closing = np.r_[sdoc[1:] != sdoc[:-1], True]
+    offset = np.cumsum(lengths + 1) - (lengths + 1)
+    stop = np.where(closing, offset[sdoc] + lengths[sdoc], stop)
+    before = np.r_[0, stop[:-1]]
+    before = np.where(np.r_[True, sdoc[1:] != sdoc[:-1]], offset[sdoc], before)
+    return Pages(cls | mark << 4, sizes, stop - before, np.bincount(sdoc, minlength=len(texts)))
+
+
+# --- the model --------------------------------------------------------------------------------
+
+
+def _grams(cls: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Code of the n-gram that ends at each token, padded at the sentence's beginning."""
+    place = np.arange(len(cls)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = cls.astype(np.int32)
+    for i in range(1, ORDER):
+        code = code + (np.where(place >= i, _shifted(cls, i, 0), _AT["^"]).astype(np.int32) << (4 * i))
+    return code
+
+
+def prose(cls: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sentences the model is trained on: five words or more, a quarter of them function words, ended like a sentence."""
-    function = sum(map(classes.count, "DPRAC"))
-    words = function + classes.count("c")
-    return words >= 5 and function >= 0.25 * words and classes[-1] == "E"
+    if not len(sizes):
+        return np.empty(0, bool)
+    head = np.cumsum(sizes) - sizes
+    words, function = np.add.reduceat((cls <= _WORDS).astype(np.int64), head), np.add.reduceat((cls < _WORDS).astype(np.int64), head)
+    return (words >= 5) & (function * 4 >= words) & (cls[head + sizes - 1] == _AT["E"])
+
+
+def count_prose(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram counts, counts of function and content words by mark) over the prose sentences."""
+    cls, mark = tokens & 15, tokens >> 4
+    good = np.repeat(prose(cls, sizes), sizes)
+    grams = np.bincount(_grams(cls, sizes)[good], minlength=_K**ORDER)
+    word = good & (cls <= _WORDS)
+    return grams, np.bincount((cls[word] == _WORDS) * 3 + mark[word], minlength=6)
 
 
 class ProseModel:
-    """Interpolated class n-gram model with the odds of repeats."""
-
-    def __init__(self, grams: dict[str, int], repeats: dict[str, int], order: int = ORDER) -> None:
-        self.order = order
-        self.counts: Counter[str] = Counter()
-        self.contexts: Counter[str] = Counter()
-        for g, n in grams.items():
-            for i in range(order):
-                self.counts[g[i:]] += n
-                self.contexts[g[i:-1]] += n
-        self.repeat = {}
-        for kind in "fc":
-            total = sum(repeats.get(kind + x, 0) for x in "-rb")
-            for x in "-rb":
-                self.repeat[kind + x] = -math.log((repeats.get(kind + x, 0) + 1) / (total + 3))
-        self._cost = lru_cache(maxsize=None)(self._surprise)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_cost"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._cost = lru_cache(maxsize=None)(self._surprise)
-
-    def _surprise(self, gram: str, backing: float = 8.0) -> float:
-        p = 1 / (len(CLASSES) + 2)
-        for i in range(self.order - 1, -1, -1):
-            c = self.contexts.get(gram[i:-1], 0)
-            p = (self.counts.get(gram[i:], 0) + backing * p) / (c + backing)
-        return -math.log(p)
-
-    def surprise(self, classes: str, marks: str) -> float:
-        """Sum over the tokens of a sentence, in nats."""
-        n, padded = self.order, "^" * (self.order - 1) + classes
-        cost = self._cost
-        total = sum([cost(padded[i : i + n]) for i in range(len(classes))])
-        repeat = self.repeat
-        total += repeat["c-"] * classes.count("c") + repeat["f-"] * sum(map(classes.count, "DPRAC"))
-        if marks.count("-") < len(marks):
-            for c, x in zip(classes, marks, strict=True):
-                if x != "-" and c in "DPRACc":
-                    kind = "c" if c == "c" else "f"
-                    total += repeat[kind + x] - repeat[kind + "-"]
-        return total
-
-    def odd_share(self, text: str, low: float, high: float, short: int = 8) -> float:
-        """Share of a text's characters in sentences of abnormal surprise; a short sentence is scored with its neighbours."""
-        return self.odd_share_of(sentences(text), len(text), low, high, short)
-
-    def odd_share_of(self, s: list[tuple[int, str, str]], length: int, low: float, high: float, short: int = 8) -> float:
-        scored = [(n, len(c), self.surprise(c, m)) for n, c, m in s]
-        odd = 0
-        for i, (chars, n, total) in enumerate(scored):
-            if n < short:
-                around = scored[max(0, i - 1) : i + 2]
-                n, total = sum(x[1] for x in around), sum(x[2] for x in around)
-            if not low <= total / n <= high:
-                odd += chars
-        return odd / length if length else 0.0
-
-
-def _pack(s: list[tuple[int, str, str]]) -> str:
-    return "\n".join([f"{n}\t{c}\t{m}" for n, c, m in s])
-
-
-def _unpack(t: str) -> list[tuple[int, str, str]]:
-    return [(int(n), c, m) for n, c, m in (x.split("\t") for x in t.split("\n"))] if t else []
+    """Interpolated class n-gram model with the odds of repeats, as one table of costs in nats."""
+
+    def __init__(self, grams: np.ndarray, repeats: np.ndarray, damping: float = 0.25, backing: float = 8.0) -> None:
+        n = grams.astype(np.float64).reshape((_K,) * ORDER) ** damping * (grams.reshape((_K,) * ORDER) > 0)
+        p = np.full((_K,), 1 / (len(CLASSES) + 2))
+        for left in range(ORDER - 1, -1, -1):
+            c = n.sum(axis=tuple(range(left)))
+            p = (c + backing * p) / (c.sum(axis=-1, keepdims=True) + backing)
+        self.cost = -np.log(p).ravel().astype(np.float32)
+        r = repeats.astype(np.float64).reshape(2, 3) + 1
+        self.repeat = -np.log(r / r.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.limits = Limits()
+
+    def surprise(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sum over the tokens of each sentence."""
+        if not len(sizes):
+            return np.empty(0)
+        cls, mark = tokens & 15, tokens >> 4
+        cost = self.cost[_grams(cls, sizes)] + np.where(cls <= _WORDS, self.repeat[(cls == _WORDS).astype(np.int8), mark], 0)
+        return np.add.reduceat(cost.astype(np.float64), np.cumsum(sizes) - sizes)
+
+    def odd(self, p: Pages, short: int = 8) -> np.ndarray:
+        """Whether the surprise of each sentence is abnormal; a short sentence is scored with its neighbours."""
+        if not len(p.sizes):
+            return np.empty(0, bool)
+        n, total = p.sizes.astype(np.float64), self.surprise(p.tokens, p.sizes)
+        sdoc = np.repeat(np.arange(len(p.sentences)), p.sentences)
+        with_n, with_total = n.copy(), total.copy()
+        same = sdoc[1:] == sdoc[:-1]
+        with_n[1:] += np.where(same, n[:-1], 0)
+        with_n[:-1] += np.where(same, n[1:], 0)
+        with_total[1:] += np.where(same, total[:-1], 0)
+        with_total[:-1] += np.where(same, total[1:], 0)
+        n, total = np.where(n < short, with_n, n), np.where(n < short, with_total, total)
+        return self.limits.odd(total / n, n)
+
+    def odd_shares(self, p: Pages) -> np.ndarray:
+        """Share of each text's characters in abnormal sentences; 0 for a text without tokens."""
+        sdoc = np.repeat(np.arange(len(p.sentences)), p.sentences)
+        bad = np.bincount(sdoc, weights=p.chars * self.odd(p), minlength=len(p.sentences))
+        return bad / np.maximum(1, np.bincount(sdoc, weights=p.chars, minlength=len(p.sentences)))
+
+
+#: classes of length, by their least number of tokens, and the bins of the surprise of a sentence, in nats
+LENGTHS = (0, 16, 32)
+BIN, BINS = 0.01, 4096
+
+
+@dataclass
+class Limits:
+    """Bounds of the mean surprise of prose, for each class of length. Without any prose nothing is abnormal."""
+
+    low: tuple[float, ...] = (0.0,) * len(LENGTHS)
+    high: tuple[float, ...] = (float("inf"),) * len(LENGTHS)
+
+    def odd(self, mean: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        c = np.searchsorted(LENGTHS, tokens, side="right") - 1
+        return (mean < np.array(self.low)[c]) | (mean > np.array(self.high)[c])
+
+
+def limits_of(histogram: np.ndarray, spread: float = 2.5, least: int = 50) -> Limits:
+    """Limits from the histogram (class of length, bin) of prose sentences; a class of fewer than ``least`` takes those of all."""
+    low, high = [], []
+    for row in histogram:
+        h = row if row.sum() >= least else histogram.sum(axis=0)
+        if not h.sum():
+            return Limits()
+        c = np.cumsum(h) / h.sum()
+        q05, mid, q95 = ((np.searchsorted(c, q) + 0.5) * BIN for q in (0.05, 0.5, 0.95))
+        low.append(max(0.0, mid - spread * (mid - q05)))
+        high.append(mid + spread * (q95 - mid))
+    return Limits(tuple(low), tuple(high))
+
+
+# --- DataFrame operators ----------------------------------------------------------------------
+
+
+def _ints(x: np.ndarray) -> bytes:
+    return x.astype("<i4").tobytes()
+
+
+def _pages(batch: pa.RecordBatch, first: int) -> Pages:
+    """The pages of a batch out of three binary columns: tokens, sizes, chars."""
+    t, s, c = (batch.column(first + i).to_pylist() for i in range(3))
+    sizes = np.frombuffer(b"".join(s), "<i4").astype(np.int64)
+    return Pages(np.frombuffer(b"".join(t), np.uint8), sizes, np.frombuffer(b"".join(c), "<i4").astype(np.int64), np.array([len(x) // 4 for x in s], np.int64))
 
 
 def decompose(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, length, parts): each text that is not empty as its packed sentences, about two bytes for each token."""
+    """(key, tokens, sizes, chars): each text that is not empty as its packed tokens and sentences, about a byte for each token."""
     ship(docs.sparkSession)
-    schema = docs.select(key).schema.add("length", "long").add("parts", "string")
+    schema = docs.select(key).schema.add("tokens", "binary").add("sizes", "binary").add("chars", "binary")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([_pack(sentences(t)) for t in texts], pa.string())], names=[key, "length", "parts"])
+        # a few texts at a time, so that their arrays stay in the processor's cache
+        for b in (big.slice(i, 64) for big in batches for i in range(0, big.num_rows, 64)):
+            p = parse(b.column(1).to_pylist())
+            cut = np.cumsum(p.sentences)[:-1]
+            sizes, chars = np.split(p.sizes, cut), np.split(p.chars, cut)
+            of_text = np.cumsum([int(x.sum()) for x in sizes])[:-1] if len(sizes) else []
+            tokens = np.split(p.tokens, of_text)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *[pa.array([f(x) for x in xs], pa.binary()) for f, xs in ((np.ndarray.tobytes, tokens), (_ints, sizes), (_ints, chars))]],
+                names=[key, "tokens", "sizes", "chars"],
+            )
 
     return docs.select(key, text).where(F.length(text) > 0).mapInArrow(split, schema)
 
 
-def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> ProseModel:
+def _summed(parts: DataFrame, count) -> list:
+    """Rows (k, n) of nonzero counts over all parts; ``count`` takes pages and gives one array of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            got = count(_pages(b, 0))
+            total = got if total is None else total + got
+        if total is not None and total.any():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["k", "n"])
+
+    return parts.select("tokens", "sizes", "chars").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+
+
+def _table(rows: list, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for r in rows:
+        out[r.k] = r.n
+    return out
+
+
+def train(docs: DataFrame, text: str = "text", spread: float = 2.5) -> ProseModel:
     """The model of all prose sentences in ``docs``; see :func:`train_on`."""
-    return train_on(decompose(docs.select(F.lit(0).alias("k"), text), "k", text), order)
+    return train_on(decompose(docs.select(F.lit(0).alias("k"), text), "k", text), spread)
 
 
-def train_on(parts: DataFrame, order: int = ORDER) -> ProseModel:
-    """The model of all prose sentences of decomposed texts. What is collected is the class n-gram table, bounded by the classes."""
+def train_on(parts: DataFrame, spread: float = 2.5) -> ProseModel:
+    """The model of all prose sentences of decomposed texts, with its limits. Two tables are collected, of fixed sizes."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter[str] = Counter()
-        pairs: Counter[tuple[str, str]] = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for _, classes, marks in _unpack(t):
-                    if is_prose(classes):
-                        padded = "^" * (order - 1) + classes
-                        grams.update([padded[i : i + order] for i in range(len(classes))])
-                        pairs.update(zip(classes, marks, strict=True))
-        repeats: Counter[str] = Counter()
-        for (c, x), n in pairs.items():
-            if c in "DPRACc":
-                repeats[("c" if c == "c" else "f") + x] += n
-        both = [("g", k, n) for k, n in grams.items()] + [("r", k, n) for k, n in repeats.items()]
-        if both:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*both, strict=True)], names=["what", "k", "n"])
-
-    table = parts.select("parts").mapInArrow(count, "what string, k string, n long").groupBy("what", "k").agg(F.sum("n").alias("n")).collect()
-    return ProseModel({r.k: r.n for r in table if r.what == "g"}, {r.k: r.n for r in table if r.what == "r"}, order)
-
-
-def odd_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", low: float = 0.3, high: float = 2.4, model: ProseModel | None = None) -> DataFrame:
+    def grams(p: Pages) -> np.ndarray:
+        return np.concatenate(count_prose(p.tokens, p.sizes))
+
+    t = _table(_summed(parts, grams), _K**ORDER + 6)
+    model = ProseModel(t[:-6], t[-6:])
+
+    def surprises(p: Pages) -> np.ndarray:
+        good = prose(p.tokens & 15, p.sizes)
+        mean = np.minimum((model.surprise(p.tokens, p.sizes)[good] / p.sizes[good] / BIN).astype(np.int64), BINS - 1)
+        return np.bincount((np.searchsorted(LENGTHS, p.sizes[good], side="right") - 1) * BINS + mean, minlength=len(LENGTHS) * BINS)
+
+    model.limits = limits_of(_table(_summed(parts, surprises), len(LENGTHS) * BINS).reshape(len(LENGTHS), BINS), spread)
+    return model
+
+
+def odd_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", model: ProseModel | None = None, spread: float = 2.5) -> DataFrame:
     """(key, odd_share): share of each document's characters in sentences that are not prose.
 
-    ``low`` and ``high`` bound the mean surprise of prose in nats for each token. Null and
-    empty texts have no row; a text without any token has share 0.
+    Null and empty texts have no row; a text without any token has share 0.
     """
     parts = materialize(decompose(docs, key, text), "sentences")  # tokenized once, read by the training and by the scoring
-    model = model or train_on(parts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = model or train_on(parts, spread)
     schema = docs.select(key).schema.add("odd_share", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            shares = [m.odd_share_of(_unpack(t), n, low, high) for n, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.float64())], names=[key, "odd_share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.odd_shares(_pages(b, 1)), pa.float64())], names=[key, "odd_share"])
 
     return parts.mapInArrow(score, schema)
