@@ -1,16 +1,19 @@
 r"""Several values packed in one field: infer the delimiters, split, keep positions.
 
-For each source and field, every candidate mark is scored on what it separates:
+For each source and field, every candidate mark is scored on the pieces that it cuts:
 
-* piece type regularity: the share of pieces beside the mark that also stand as
-  a whole item elsewhere in the field (alone, quoted, or between other marks);
-* piece-count consistency: how evenly the mark cuts, one minus the share of
-  texts that hold the mark but get an empty or one-sided cut from it.
+* piece-count consistency: how little the number of pieces varies between texts that hold the mark
+  (one over one plus the squared coefficient of variation);
+* piece type regularity: how few types the pieces have (initial, digits, number of words), as one
+  minus the entropy of the types over that of sixteen equal ones;
+* independence: how freely the pieces on its two sides combine, as the chance that two texts
+  with the same piece before the mark have different ones behind it. A mark inside a name (the slash
+  of ``Short-term/Holiday``) binds its sides. Where pieces seldom come again, what is usual
+  for the mark counts.
 
-A mark that cuts names apart (the slash of ``Short-term/Holiday``) leaves pieces
-that never stand alone and scores near zero. All statistics run over the whole
-table, aggregated to distinct texts first, so one text that holds a third of
-the rows is one row from then on.
+All statistics run over the whole table, aggregated to distinct texts first, so one text that holds a
+third of the rows is one row from then on. Nothing needs to be known about the values: a field
+in which no value ever comes again is split by counts and types.
 
 Splitting respects double quotes (``""`` and ``\"`` inside), single quotes
 around a whole item, and JSON-like brackets around the list.
@@ -25,8 +28,12 @@ from pyspark.sql import functions as F
 
 from hearthmill.session import materialize
 
-#: marks that may separate values, tried in this order
-CANDIDATES = (",", ";", "|", "\t", "\n", "/", "&", "·", "•", "¦")
+#: a hyphen between blanks, as one character while a text is cut
+_DASH = "\ue003"
+#: marks that may separate values, with how freely their sides usually combine: most hardly occur inside names, some often do
+CANDIDATES = {",": 0.7, ";": 0.7, "|": 0.7, "\t": 0.7, "\n": 0.7, "~": 0.7, "·": 0.7, "•": 0.7, "¦": 0.7, _DASH: 0.5, "/": 0.1, "&": 0.1}
+#: the marks that every text is cut at while another one is scored
+BASE = (",", ";", "|", "\t", "\n")
 
 _SPECIAL = {"\t": r"\t", "\n": r"\n", "|": r"\|", "/": "/", "&": "&", "-": r"\-", "]": r"\]", "[": r"\[", "^": r"\^"}
 
@@ -36,7 +43,8 @@ def _class(marks: str | tuple[str, ...]) -> str:
 
 
 def _body(text: Column) -> Column:
-    """The list inside JSON-like brackets, or the text as it is."""
+    """The list inside JSON-like brackets, or the text as it is; a hyphen between blanks as one mark."""
+    text = F.when(F.contains(text, F.lit(" - ")), F.regexp_replace(text, " -(?= )", f" {_DASH}")).otherwise(text)
     return F.when(text.rlike(r"^\s*\[(?s:.*)\]\s*$"), F.regexp_extract(text, r"^\s*\[((?s:.*))\]\s*$", 1)).otherwise(text)
 
 
@@ -69,7 +77,7 @@ def clean_piece(piece: Column) -> Column:
     body = F.substring(t, F.lit(2), F.length(t) - 2)
     unescaped = F.regexp_replace(F.replace(body, F.lit('""'), F.lit('"')), r"\\(.)", "$1")
     out = F.when(dq, unescaped).when(sq, F.replace(body, F.lit("''"), F.lit("'"))).otherwise(t)
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.translate(F.regexp_replace(out, r"^\s+|\s+$", ""), _DASH, "-")
 
 
 def packed_texts(df: DataFrame, fields: list[str], source: str | None) -> DataFrame:
@@ -79,53 +87,71 @@ def packed_texts(df: DataFrame, fields: list[str], source: str | None) -> DataFr
     return reduce(DataFrame.unionByName, parts).where(F.col("text").isNotNull()).groupBy("source", "field", "text").agg(F.count("*").alias("n"))
 
 
-def _beside(texts: DataFrame, marks: tuple[str, ...], wanted: tuple[str, ...]) -> DataFrame:
-    """(source, field, text, n, mark, item): the pieces on both sides of each wanted mark outside quotes, when cut at ``marks``."""
-    held = reduce(lambda x, y: x | y, [F.contains("text", F.lit(m)) for m in wanted])
+def _cut(texts: DataFrame, marks: tuple[str, ...], wanted: tuple[str, ...]) -> DataFrame:
+    """(source, field, mark, left, right, pieces): the pieces beside each wanted mark outside quotes, when cut at ``marks``.
+
+    ``pieces``, on the first such mark of a text only: how many pieces the mark makes of it.
+    """
+    held = reduce(lambda x, y: x | y, [F.contains("text", F.lit(" - " if m == _DASH else m)) for m in wanted])
     cut = texts.where(held).withColumn("parts", _separated(F.col("text"), F.lit(_class(marks)))).where(F.size("parts") > 1)
     parts = F.col("parts")
     flank = F.transform(
         F.sequence(F.lit(2), F.size(parts)),
-        lambda i: F.struct(
-            F.substring(F.element_at(parts, i), 1, 1).alias("mark"),
-            F.array(F.element_at(parts, i - 1), F.element_at(parts, i)).alias("p"),
-        ),
-    )
-    pairs = cut.select("source", "field", "text", "n", F.inline(flank)).where(F.col("mark").isin(list(wanted)))
-    return pairs.select("source", "field", "text", "n", "mark", F.explode("p").alias("p")).select(
-        "source", "field", "text", "n", "mark", clean_piece(F.col("p").substr(F.lit(2), F.length("p"))).alias("item")
+        lambda i: F.struct(F.substring(F.get(parts, i - 1), 1, 1).alias("mark"), F.get(parts, i - 2).alias("left"), F.get(parts, i - 1).alias("right")),
     )
+    of_wanted = F.filter(flank, lambda x: x["mark"].isin(list(wanted)))
+    marks_of = F.transform(F.col("flank"), lambda x: x["mark"])
+    numbered = cut.withColumn("flank", of_wanted).withColumn("marks", marks_of).select("source", "field", "flank", "marks", F.posexplode("flank").alias("i", "x"))
+    first = F.array_position("marks", F.col("x.mark")) == F.col("i") + 1
+    inner = lambda c: clean_piece(F.col(c).substr(F.lit(2), F.length(c)))
+    return numbered.select(
+        "source", "field", F.col("x.mark").alias("mark"), inner("x.left").alias("left"), inner("x.right").alias("right"),
+        F.when(first, F.size(F.filter("marks", lambda m: m == F.col("x.mark"))) + 1).alias("pieces"),
+    )
 
 
-def score_delimiters(texts: DataFrame, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
-    """(source, field, mark, texts, regularity, consistency, score) of each candidate that occurs outside quotes."""
-    # items known to stand on their own: quoted ones, and texts that are one item
-    whole = (
-        texts.select("field", "n", F.posexplode(raw_pieces(F.col("text"), F.lit(_class(candidates[:5])))).alias("i", "p"))
-        .select("field", "n", clean_piece(F.col("p")).alias("item"), F.col("p").rlike(r"""^\s*["']""").alias("quoted"))
-        .where("item <> ''")
-    )
-    alone = texts.select("field", "n", clean_piece(_body(F.col("text"))).alias("item"), F.lit(True).alias("quoted"))
-    known = whole.where("quoted").unionByName(alone).groupBy("field", "item").agg(F.sum("n").alias("seen"))
-    base, extra = candidates[:5], candidates[5:]
-    sides = [_beside(texts, base, base), *[_beside(texts, (*base, m), (m,)) for m in extra]]
-    beside = reduce(DataFrame.unionByName, sides).groupBy("source", "field", "mark", "item").agg(F.sum("n").alias("n"), F.count_distinct("text").alias("texts"))
-    scored = (
-        beside.join(known, ["field", "item"], "left")
-        .groupBy("source", "field", "mark")
-        .agg(
-            F.sum("texts").alias("texts"),
-            F.try_divide(F.sum(F.when(F.col("item") != "", F.col("n") * F.col("seen").isNotNull().cast("int"))), F.sum(F.when(F.col("item") != "", F.col("n")))).alias("regularity"),
-            (1 - F.sum(F.when(F.col("item") == "", F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"),
-        )
-    )
-    return scored.withColumn("score", F.coalesce(F.col("regularity"), F.lit(0.0)) * 0.8 + F.col("consistency") * 0.2)
+def _type(piece: Column) -> Column:
+    """Type of a piece: its initial, whether it holds digits, and one, two or more words."""
+    initial = F.when(piece.rlike(r"^\p{Lu}"), "A").when(piece.rlike(r"^\p{L}"), "a").when(piece.rlike(r"^\p{Nd}"), "0").otherwise("-")
+    return F.concat(initial, F.when(piece.rlike(r"\p{Nd}"), "0").otherwise("-"), F.least(F.size(F.split(piece, r"\s+")), F.lit(3)).cast("string"))
+
 
+def score_delimiters(texts: DataFrame, candidates: dict[str, float] | None = None, doubt: float = 4.0) -> DataFrame:
+    """(source, field, mark, texts, consistency, regularity, independence, score) of each candidate that occurs outside quotes.
 
-def infer_delimiters(texts: DataFrame, candidates: tuple[str, ...] = CANDIDATES, least: float = 0.6) -> DataFrame:
+    ``doubt``: how many observations the usual independence of a mark weighs.
+    """
+    marks = candidates or CANDIDATES
+    base = tuple(m for m in BASE if m in marks)
+    sides = [_cut(texts, base, base)] if base else []
+    sides += [_cut(texts, (*base, m), (m,)) for m in marks if m not in base]
+    pairs = reduce(DataFrame.unionByName, sides).groupBy("source", "field", "mark", "left", "right").agg(
+        F.count("*").alias("c"), F.count("pieces").alias("texts"), F.sum("pieces").alias("k"), F.sum(F.col("pieces") * F.col("pieces")).alias("k2")
+    )
+    pairs = materialize(pairs, "pairs")
+    on = ["source", "field", "mark"]
+    counts = pairs.groupBy(*on).agg(F.sum("texts").alias("texts"), F.sum("k").alias("k"), F.sum("k2").alias("k2"))
+    mean = F.col("k") / F.col("texts")
+    counts = counts.select(*on, "texts", (1 / (1 + (F.col("k2") / F.col("texts") - mean * mean) / (mean * mean))).alias("consistency"))
+    kinds = pairs.select(*on, "c", F.explode(F.array(*[F.when(F.col(x) != "", _type(F.col(x))) for x in ("left", "right")])).alias("t")).where("t IS NOT NULL")
+    kinds = kinds.groupBy(*on, "t").agg(F.sum("c").alias("c")).groupBy(*on).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    kinds = kinds.select(*on, F.greatest(F.lit(0.0), 1 - (F.log2("n") - F.col("s") / F.col("n")) / 4).alias("regularity"))
+    beside = pairs.where("left <> '' AND right <> ''").groupBy(*on, "left").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")).where("n > 1")
+    # of a piece seen n times, the chance that two of its partners differ, weighed by n - 1
+    free = beside.groupBy(*on).agg(F.sum(F.col("n") - 1).alias("seen"), F.sum((F.col("n") - 1) - F.col("same") / F.col("n")).alias("differ"))
+    null_safe = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on])
+    usual = F.coalesce(*[F.when(F.col("a.mark") == m, F.lit(p)) for m, p in marks.items()])
+    joined = counts.alias("a").join(kinds.alias("b"), null_safe("a", "b"), "left").join(free.alias("c"), null_safe("a", "c"), "left")
+    seen, differ = F.coalesce("c.seen", F.lit(0)), F.coalesce("c.differ", F.lit(0.0))
+    scored = joined.select(*[F.col(f"a.{c}").alias(c) for c in on], "a.texts", "a.consistency", F.coalesce("b.regularity", F.lit(0.0)).alias("regularity"), ((usual * doubt + differ) / (doubt + seen)).alias("independence"))
+    return scored.withColumn("score", F.col("consistency") * 0.25 + F.col("regularity") * 0.25 + F.col("independence") * 0.5)
+
+
+def infer_delimiters(texts: DataFrame, candidates: dict[str, float] | None = None, least: float = 0.6) -> DataFrame:
     """(source, field, marks): the marks of each source and field that score ``least`` or more, as a character-class body."""
-    order = F.array(*[F.lit(c) for c in candidates])
-    escaped = F.array(*[F.lit(_class((c,))) for c in candidates])
+    known = list(candidates or CANDIDATES)
+    order = F.array(*[F.lit(c) for c in known])
+    escaped = F.array(*[F.lit(_class((c,))) for c in known])
     return (
         score_delimiters(texts, candidates)
         .where(F.col("score") >= least)
@@ -135,7 +161,7 @@ def infer_delimiters(texts: DataFrame, candidates: tuple[str, ...] = CANDIDATES,
     )
 
 
-def split_values(df: DataFrame, key: str, fields: list[str], source: str | None = None, candidates: tuple[str, ...] = CANDIDATES, broadcast_rows: int = 100_000) -> DataFrame:
+def split_values(df: DataFrame, key: str, fields: list[str], source: str | None = None, candidates: dict[str, float] | None = None, broadcast_rows: int = 100_000) -> DataFrame:
     """One row per value: (key, field, pos, item), positions from 1.
 
     Null texts give no row; an empty value takes a position but gives none;

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,9 +34,25 @@ def test_quotes_brackets_blanks_and_positions(spark):
     assert got[n + 8] == [(1, "Owner's Pick"), (2, "Alpha")]
 
 
-def test_slash_separates_where_its_pieces_stand_alone(spark):
-    texts = ["red", "green", "blue", "red/green", "green/blue", "blue/red/green"]
-    assert split(spark, texts)[5] == [(1, "blue"), (2, "red"), (3, "green")]
+def test_slash_separates_where_its_pieces_combine_freely(spark):
+    colours = ["red", "green", "blue", "black"]
+    texts = [*colours, *[f"{a}/{b}" for a in colours for b in colours if a != b], "blue/red/green"]
+    assert split(spark, texts)[len(texts) - 1] == [(1, "blue"), (2, "red"), (3, "green")]
+    bound = ["red/green", "Short-term/Holiday", "Flats & Rooms"] * 9
+    assert split(spark, bound)[1] == [(1, "Short-term/Holiday")] and split(spark, bound)[2] == [(1, "Flats & Rooms")]
+
+
+@pytest.mark.parametrize("mark", ["; ", ",", "|", " ~ ", " - ", "\n"])
+def test_lists_of_values_that_never_come_again(mark, spark):
+    n = 40
+    got = split(spark, [mark.join(f"item{i}{x}" for x in "abc") for i in range(n)])
+    assert all(got[i] == [(1, f"item{i}a"), (2, f"item{i}b"), (3, f"item{i}c")] for i in range(n))
+
+
+def test_a_hyphen_stays_where_it_is_no_mark(spark):
+    texts = ["Semi - Detached", "Semi-Detached", "Rent-to-Own"] * 12
+    got = split(spark, texts)
+    assert got[0] == [(1, "Semi - Detached")] and got[1] == [(1, "Semi-Detached")] and got[2] == [(1, "Rent-to-Own")]
 
 
 def test_edges(spark):
