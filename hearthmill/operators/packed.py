@@ -90,7 +90,7 @@ def packed_texts(df: DataFrame, fields: list[str], source: str | None) -> DataFr
 def _cut(texts: DataFrame, marks: tuple[str, ...], wanted: tuple[str, ...]) -> DataFrame:
     """(source, field, mark, left, right, pieces): the pieces beside each wanted mark outside quotes, when cut at ``marks``.
 
-    ``pieces``, on the first such mark of a text only: how many pieces the mark makes of it.
+    For each text and mark there is one row besides, without sides, with the number of ``pieces`` that the mark makes of it.
     """
     held = reduce(lambda x, y: x | y, [F.contains("text", F.lit(" - " if m == _DASH else m)) for m in wanted])
     cut = texts.where(held).withColumn("parts", _separated(F.col("text"), F.lit(_class(marks)))).where(F.size("parts") > 1)
@@ -100,14 +100,13 @@ def _cut(texts: DataFrame, marks: tuple[str, ...], wanted: tuple[str, ...]) -> D
         lambda i: F.struct(F.substring(F.get(parts, i - 1), 1, 1).alias("mark"), F.get(parts, i - 2).alias("left"), F.get(parts, i - 1).alias("right")),
     )
     of_wanted = F.filter(flank, lambda x: x["mark"].isin(list(wanted)))
+    inner = lambda c: clean_piece(c.substr(F.lit(2), F.length(c)))
     marks_of = F.transform(F.col("flank"), lambda x: x["mark"])
-    numbered = cut.withColumn("flank", of_wanted).withColumn("marks", marks_of).select("source", "field", "flank", "marks", F.posexplode("flank").alias("i", "x"))
-    first = F.array_position("marks", F.col("x.mark")) == F.col("i") + 1
-    inner = lambda c: clean_piece(F.col(c).substr(F.lit(2), F.length(c)))
-    return numbered.select(
-        "source", "field", F.col("x.mark").alias("mark"), inner("x.left").alias("left"), inner("x.right").alias("right"),
-        F.when(first, F.size(F.filter("marks", lambda m: m == F.col("x.mark"))) + 1).alias("pieces"),
-    )
+    none = F.lit(None).cast("string")
+    # a row for each flank and one for each mark of a text, so that the work stays linear in its pieces
+    sides = F.transform(F.col("flank"), lambda x: F.struct(x["mark"].alias("mark"), inner(x["left"]).alias("left"), inner(x["right"]).alias("right"), F.lit(None).cast("int").alias("pieces")))
+    totals = F.transform(F.array_distinct(marks_of), lambda m: F.struct(m.alias("mark"), none.alias("left"), none.alias("right"), (F.size(F.filter(F.col("marks"), lambda x: x == m)) + 1).alias("pieces")))
+    return cut.withColumn("flank", of_wanted).withColumn("marks", marks_of).select("source", "field", F.inline(F.concat(sides, totals)))
 
 
 def _type(piece: Column) -> Column:
@@ -124,19 +123,21 @@ def score_delimiters(texts: DataFrame, candidates: dict[str, float] | None = Non
     marks = candidates or CANDIDATES
     base = tuple(m for m in BASE if m in marks)
     sides = [_cut(texts, base, base)] if base else []
-    sides += [_cut(texts, (*base, m), (m,)) for m in marks if m not in base]
+    others = tuple(m for m in marks if m not in base)
+    sides += [_cut(texts, (*base, *others), others)] if others else []
     pairs = reduce(DataFrame.unionByName, sides).groupBy("source", "field", "mark", "left", "right").agg(
         F.count("*").alias("c"), F.count("pieces").alias("texts"), F.sum("pieces").alias("k"), F.sum(F.col("pieces") * F.col("pieces")).alias("k2")
     )
     pairs = materialize(pairs, "pairs")
     on = ["source", "field", "mark"]
     counts = pairs.groupBy(*on).agg(F.sum("texts").alias("texts"), F.sum("k").alias("k"), F.sum("k2").alias("k2"))
+    pairs = pairs.where("left IS NOT NULL")
     mean = F.col("k") / F.col("texts")
     counts = counts.select(*on, "texts", (1 / (1 + (F.col("k2") / F.col("texts") - mean * mean) / (mean * mean))).alias("consistency"))
     kinds = pairs.select(*on, "c", F.explode(F.array(*[F.when(F.col(x) != "", _type(F.col(x))) for x in ("left", "right")])).alias("t")).where("t IS NOT NULL")
     kinds = kinds.groupBy(*on, "t").agg(F.sum("c").alias("c")).groupBy(*on).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     kinds = kinds.select(*on, F.greatest(F.lit(0.0), 1 - (F.log2("n") - F.col("s") / F.col("n")) / 4).alias("regularity"))
-    beside = pairs.where("left <> '' AND right <> ''").groupBy(*on, "left").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")).where("n > 1")
+    beside = pairs.where("left <> '' AND right <> '' AND left <> right").groupBy(*on, "left").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")).where("n > 1")
     # of a piece seen n times, the chance that two of its partners differ, weighed by n - 1
     free = beside.groupBy(*on).agg(F.sum(F.col("n") - 1).alias("seen"), F.sum((F.col("n") - 1) - F.col("same") / F.col("n")).alias("differ"))
     null_safe = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on])
