@@ -43,7 +43,7 @@ def days_between(end: Column, start: Column) -> Column:
 def boundaries(part: str, start: Column, end: Column) -> Column:
     """Number of ``part`` boundaries crossed from ``start`` to ``end`` (Jan 31 to Feb 1 is one month).
 
-    Weeks count Sundays to Sundays, hours and smaller parts count their own edges.
+    Weeks are whole weeks plus the turn of the week that the weekdays tell, hours and smaller parts count their own edges.
     """
     if part == "year":
         n = F.year(end) - F.year(start)
@@ -56,14 +56,16 @@ def boundaries(part: str, start: Column, end: Column) -> Column:
     elif part == "week":
         d = F.datediff(end, start)
         whole = F.when(d >= 0, F.floor(d / 7)).otherwise(F.ceil(d / 7))
-        turned = F.when((start <= end) & (F.dayofweek(start) > F.dayofweek(end)), 1).when((start > end) & (F.dayofweek(start) < F.dayofweek(end)), -1).otherwise(0)
+        # equal weekdays included, a turn backwards counts one week more
+        forward = start <= end
+        turned = F.when(F.dayofweek(start) <= F.dayofweek(end), F.when(forward, 0).otherwise(-1)).otherwise(F.when(forward, 1).otherwise(0))
         n = whole + turned
     elif part in _SECONDS:
         size = _SECONDS[part]
         n = F.floor(F.unix_timestamp(end.cast("timestamp")) / size) - F.floor(F.unix_timestamp(start.cast("timestamp")) / size)
     elif part in ("millisecond", "microsecond"):
-        fine = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-        n = F.floor(fine / 1000) if part == "millisecond" else fine
+        a, b = (F.unix_micros(x.cast("timestamp")) for x in (start, end))
+        n = F.floor(b / 1000) - F.floor(a / 1000) if part == "millisecond" else b - a
     else:
         raise ValueError(f"unknown date part: {part}")
     return n.cast("long")

@@ -152,6 +152,10 @@ class _Parse:
     count: float = 1.0  # "every two weeks"
     last: tuple = field(default=())  # (dimension, size, exponent) of the last root, for powers behind it
 
+    def state(self) -> tuple:
+        """What decides how a reading may go on."""
+        return self.factor, self.dims, self.sign, self.power, self.scale, self.count, self.last
+
 
 def _add(dims: tuple, d: str, n: int) -> tuple:
     x = dict(dims)
@@ -202,24 +206,29 @@ def _is_unit(word: str) -> bool:
     return True in reach[-1]
 
 
+class TooManyReadings(ValueError):
+    """A unit text with more states than are followed: it is reported as unreadable, never read by some of them only."""
+
+
 @lru_cache(maxsize=65536)
-def segment(text: str, beam: int = 12, skip: float = 2.6) -> tuple[_Parse, ...]:
-    """The cheapest readings of a unit string, by dynamic programming over its positions."""
+def segment(text: str, skip: float = 2.6, most: int = 20_000) -> tuple[_Parse, ...]:
+    """All readings of a unit string, each at its least cost, by dynamic programming over its positions.
+
+    States that only differ in cost are merged; none is dropped. Beyond ``most`` states at a position the text is given up.
+    """
     n = len(text)
-    best: list[list[_Parse]] = [[] for _ in range(n + 1)]
-    best[0] = [_Parse()]
+    found: list[dict[tuple, _Parse]] = [{} for _ in range(n + 1)]
+    start = _Parse()
+    found[0][start.state()] = start
 
     def put(i: int, p: _Parse) -> None:
-        row = best[i]
-        for k, q in enumerate(row):
-            if (q.factor, q.dims, q.sign, q.power, q.scale, q.count, q.last) == (p.factor, p.dims, p.sign, p.power, p.scale, p.count, p.last):
-                if p.cost < q.cost:
-                    row[k] = p
-                return
-        row.append(p)
-        row.sort(key=lambda x: x.cost)
-        del row[beam:]
+        q = found[i].get(p.state())
+        if q is None or p.cost < q.cost:
+            found[i][p.state()] = p
+            if len(found[i]) > most:
+                raise TooManyReadings(text)
 
+    best = [row.values() for row in found]
     for i in range(n):
         if not best[i]:
             continue
@@ -295,9 +304,21 @@ def amounts(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: words that make another rate of the period behind them, and words that hold a period
+_OTHER_RATE = re.compile(r"\b(?:bi|tri|semi|half|twice|thrice)[\s-]*(?:(?:a|per|each|every)\s+)?(?:dai|day|week|fortnight|month|quarter|year|annual|annum)")
+_PERIOD_WORD = re.compile(r"[^\W\d_]*(?:week|month|year|annual|annum|fortnight|quarter|night|hour)[^\W\d_]*")
+
+
+def unknown_rate(unit: str) -> bool:
+    """Whether a unit text names a rate that the vocabulary does not have."""
+    return bool(_OTHER_RATE.search(unit)) or any(not _is_unit(m[0]) for m in _PERIOD_WORD.finditer(unit))
+
+
 @lru_cache(maxsize=262144)
 def parse_amount(number: str, unit: str, prior: FieldPrior) -> tuple[float, float] | None:
     """(value in the wanted unit, cost) of one amount under a field's prior; null if no reading has its dimension."""
+    if unknown_rate(unit):
+        return None
     want, target = dict(prior.dims), dict(prior.target)
     fits = []
     for p in segment(unit):
@@ -321,13 +342,20 @@ def parse_amount(number: str, unit: str, prior: FieldPrior) -> tuple[float, floa
 
 
 def convert(text: str | None, prior: FieldPrior) -> float | None:
-    """The first amount of a text in the field's unit; null without a readable amount."""
+    """The amount of a text in the field's unit: the one that reads best, the first of those that read about as well.
+
+    Null without a readable amount, and where a rate is named that is not known (``biweekly``). Amounts in words are not read.
+    """
     if not text:
         return None
-    for number, unit in amounts(text):
-        if (x := parse_amount(number, unit, prior)) is not None:
-            return x[0]
-    return None
+    try:
+        read = [x for number, unit in amounts(text) if (x := parse_amount(number, unit, prior)) is not None]
+    except TooManyReadings:
+        return None
+    if not read:
+        return None
+    cheapest = min(cost for _, cost in read)
+    return next(x for x, cost in read if cost <= cheapest + prior.doubt)
 
 
 # --- DataFrame operator -----------------------------------------------------------------------

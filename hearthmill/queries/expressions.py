@@ -132,18 +132,22 @@ def epoch_millis(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q_boundaries",
     """
-WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate AS e, o_orderdate AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, date_diff('year', s, e) AS years, date_diff('quarter', s, e) AS quarters, date_diff('month', s, e) AS months, date_diff('day', s, e) AS days, date_diff('hour', s, e) AS hours, date_diff('minute', s, e) AS minutes, date_diff('second', s, e) AS seconds, date_diff('millisecond', s, e) AS millis,
-  CAST(CASE WHEN date_diff('day', s, e) >= 0 THEN floor(date_diff('day', s, e) / 7.0) ELSE ceil(date_diff('day', s, e) / 7.0) END
-   + CASE WHEN s <= e AND dayofweek(s) > dayofweek(e) THEN 1 WHEN s > e AND dayofweek(s) < dayofweek(e) THEN -1 ELSE 0 END AS BIGINT) AS weeks FROM p
+WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate + to_microseconds(l_partkey * 1237) AS x, o_orderdate + to_microseconds(l_orderkey * 777) AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE WHEN l_linenumber % 2 = 0 THEN x ELSE y END AS s, CASE WHEN l_linenumber % 2 = 0 THEN y ELSE x END AS e FROM q)
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, date_diff('year', s, e) AS years, date_diff('quarter', s, e) AS quarters, date_diff('month', s, e) AS months, date_diff('day', s, e) AS days, date_diff('hour', s, e) AS hours, date_diff('minute', s, e) AS minutes, date_diff('second', s, e) AS seconds, date_diff('millisecond', s, e) AS millis, date_diff('microsecond', s, e) AS micros,
+  CAST(trunc(date_diff('day', s, e) / 7.0) + CASE WHEN dayofweek(s) <= dayofweek(e) THEN CASE WHEN s <= e THEN 0 ELSE -1 END ELSE CASE WHEN s <= e THEN 1 ELSE 0 END END AS BIGINT) AS weeks FROM p
 """,
 )
 def boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments with fractions of a second, every other pair backwards."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
     j = li.join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderkey") == F.col("l_orderkey"))
-    s, e = F.col("o_orderdate"), F.col("l_shipdate")
-    parts = {"years": "year", "quarters": "quarter", "months": "month", "days": "day", "hours": "hour", "minutes": "minute", "seconds": "second", "millis": "millisecond", "weeks": "week"}
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", *[D.boundaries(p, s, e).alias(n) for n, p in parts.items()])
+    x = F.timestamp_add("MICROSECOND", F.col("l_partkey") * 1237, F.col("l_shipdate"))
+    y = F.timestamp_add("MICROSECOND", F.col("l_orderkey") * 777, F.col("o_orderdate"))
+    back = F.col("l_linenumber") % 2 == 0
+    j = j.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.when(back, x).otherwise(y).alias("s"), F.when(back, y).otherwise(x).alias("e"))
+    parts = {"years": "year", "quarters": "quarter", "months": "month", "days": "day", "hours": "hour", "minutes": "minute", "seconds": "second", "millis": "millisecond", "micros": "microsecond", "weeks": "week"}
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", *[D.boundaries(p, F.col("s"), F.col("e")).alias(n) for n, p in parts.items()])
 
 
 @query("q_period_year", "SELECT id, try_cast(substr(trim(time_period), 1, 4) AS INTEGER) AS y FROM raw_cso_rent")

@@ -43,6 +43,8 @@ def test_surrogate_key_tells_null_from_empty(spark):
         ("month", "2024-01-31", "2024-02-01", 1),
         ("week", "2024-05-04", "2024-05-06", 1),
         ("week", "2024-05-06", "2024-05-04", -1),
+        ("week", "2024-05-13", "2024-05-06", -2),
+        ("millisecond", "2024-01-01 00:00:00.0009", "2024-01-01 00:00:01", 1000),
         ("year", "2023-12-31", "2024-01-01", 1),
         ("quarter", "2024-03-31", "2024-04-01", 1),
         ("day", "2024-02-28", "2024-03-01", 2),
