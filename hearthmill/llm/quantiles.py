@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,18 +40,23 @@ def capacity(k: int = DEFAULT_K) -> int:
     return 2 * SECTIONS * k
 
 
-def rank_error(k: int = DEFAULT_K, deviations: float = 3.0) -> float:
-    """Bound on the error of a normalised rank anywhere, at so many standard deviations (it shrinks towards the protected tail)."""
-    return deviations * 0.084 / k * 4  # four times the figure published for this layout: safe under merging in any order
+def rank_error(k: int = DEFAULT_K, deviations: float = 3.0, tail: float = 1.0) -> float:
+    """Bound on the error of a normalised rank, at so many standard deviations.
+
+    ``tail``: share of the values between the rank and the protected end. The error shrinks in proportion to it
+    (a multiplicative bound) and is flat far from that end. Four times the figures published for this layout: safe
+    under merging in any order.
+    """
+    return deviations * 4 * min(0.084, (0.0512 / SECTIONS) ** 0.5 * tail) / k
 
 
 class Sketch:
     """One sketch; ``high`` protects the upper tail, else the lower one."""
 
-    __slots__ = ("high", "k", "levels", "n", "states")
+    __slots__ = ("high", "k", "levels", "n", "salt", "states")
 
-    def __init__(self, k: int = DEFAULT_K, high: bool = True) -> None:
-        self.k, self.high, self.n = k, high, 0
+    def __init__(self, k: int = DEFAULT_K, high: bool = True, salt: int = 0) -> None:
+        self.k, self.high, self.n, self.salt = k, high, 0, salt
         self.levels: list[np.ndarray] = [np.empty(0)]
         self.states: list[int] = [0]
 
@@ -63,6 +69,7 @@ class Sketch:
 
     def merge(self, other: Sketch) -> None:
         self.n += other.n
+        self.salt = hash((self.salt, other.salt))
         for h, v in enumerate(other.levels):
             if h == len(self.levels):
                 self.levels.append(np.empty(0))
@@ -87,8 +94,9 @@ class Sketch:
                 ones = (~self.states[h] & (self.states[h] + 1)).bit_length() - 1
                 keep = m * k + (m - min(m, ones + 1)) * k  # the protected half and the sections left alone
                 cut = (len(v) - keep) // 2 * 2
-                # the coin is a hash of what is compacted: repeatable, and independent of the values' parity
-                coin = (hash((self.states[h], h, cut, float(v[0]), float(v[-1]))) >> 7) & 1
+                # the coin is a hash of what is compacted and of where: repeatable, independent of the values' parity, and
+                # not the same on days that are alike
+                coin = (hash((self.salt, self.states[h], h, cut, float(v[0]), float(v[-1]))) >> 7) & 1
                 if self.high:
                     up, rest = v[coin:cut:2], v[cut:]
                 else:
@@ -138,11 +146,54 @@ class Sketch:
         parts = [struct.unpack_from("<QI", data, at + i * 12) for i in range(count)]
         flat = np.frombuffer(data, dtype="<f8", offset=at + 12 * count)
         ends = np.cumsum([p[1] for p in parts])
-        s.n, s.states = n, [p[0] for p in parts]
+        s.n, s.states, s.salt = n, [p[0] for p in parts], hash((n, len(flat), float(flat.sum())))
         s.levels = [flat[e - p[1] : e].copy() for e, p in zip(ends, parts, strict=True)]
         return s
 
 
+class TwoTails:
+    """A sketch for each tail: the lower one answers below the median, the upper one from it on."""
+
+    __slots__ = ("low", "top")
+
+    def __init__(self, k: int = DEFAULT_K, salt: int = 0) -> None:
+        self.low, self.top = Sketch(k, False, salt), Sketch(k, True, salt)
+
+    @property
+    def n(self) -> int:
+        return self.top.n
+
+    def update(self, values: np.ndarray) -> None:
+        self.low.update(values)
+        self.top.update(values)
+
+    def merge(self, other: TwoTails) -> None:
+        self.low.merge(other.low)
+        self.top.merge(other.top)
+
+    def quantiles(self, probs: list[float]) -> list[float | None]:
+        low, top = self.low.quantiles(probs), self.top.quantiles(probs)
+        return [a if p < 0.5 else b for p, a, b in zip(probs, low, top, strict=True)]
+
+    def share(self, x: float, inclusive: bool = True) -> float | None:
+        s = self.low.share(x, inclusive)
+        return s if s is None or s < 0.5 else self.top.share(x, inclusive)
+
+    def dump(self) -> bytes:
+        low = self.low.dump()
+        return struct.pack("<BIQ", 2, len(low), self.n) + low + self.top.dump()  # the count stands where a sketch has it
+
+
+def load(data: bytes) -> Sketch | TwoTails:
+    if data[0] != 2:
+        return Sketch.load(data)
+    head = struct.calcsize("<BIQ")
+    (size,) = struct.unpack_from("<I", data, 1)
+    both = TwoTails.__new__(TwoTails)
+    both.low, both.top = Sketch.load(data[head : head + size]), Sketch.load(data[head + size :])
+    return both
+
+
 # --- DataFrame operators ----------------------------------------------------------------------
 
 
@@ -156,10 +207,11 @@ def _reveal(df: DataFrame, groups: list[str], schema: T.StructType) -> DataFrame
     return df.withColumn("__k", F.from_json("__g", kinds)).select(*[F.col(f"__k.`{g}`").alias(g) for g in groups], "n", "sketch")
 
 
-def sketches(df: DataFrame, groups: list[str], value: str, k: int = DEFAULT_K, high: bool = True) -> DataFrame:
+def sketches(df: DataFrame, groups: list[str], value: str, k: int = DEFAULT_K, high: bool | None = True) -> DataFrame:
     """One sketch for each group: (group columns, n, sketch). Null and NaN values are left out; a null group is a group.
 
-    An empty input gives no rows. Group columns may not be called n or sketch.
+    ``high``: the tail to protect, upper or lower; with None there is a sketch for each. An empty input gives no rows.
+    Group columns may not be called n or sketch.
     """
     if {"n", "sketch", "__g"} & set(groups):
         raise ValueError("group columns may not be called n, sketch or __g")
@@ -167,8 +219,9 @@ def sketches(df: DataFrame, groups: list[str], value: str, k: int = DEFAULT_K, h
     flat = df.select(_key(groups).alias("__g"), F.col(f"`{value}`").cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Sketch] = {}
+        held: dict[str, Sketch | TwoTails] = {}
         kept = 0
+        salt = TaskContext.get().partitionId()  # the same when a task is run again
 
         def emit() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -184,7 +237,7 @@ def sketches(df: DataFrame, groups: list[str], value: str, k: int = DEFAULT_K, h
             for part in np.split(order, cuts) if len(order) else []:
                 name = names[codes[part[0]]]
                 if (s := held.get(name)) is None:
-                    s = held[name] = Sketch(k, high)
+                    s = held[name] = TwoTails(k, salt) if high is None else Sketch(k, high, salt)
                 s.update(values[part])
             kept += b.num_rows
             if kept > FLUSH_VALUES or len(held) > FLUSH_GROUPS:
@@ -198,8 +251,11 @@ def sketches(df: DataFrame, groups: list[str], value: str, k: int = DEFAULT_K, h
     return _reveal(_merged(built), groups, df.schema)
 
 
-def _merged(partial: DataFrame) -> DataFrame:
-    """Sketches of the same ``__g`` merged; each partition streams through its sorted keys."""
+def _merged(partial: DataFrame, ways: int = 32) -> DataFrame:
+    """Sketches of the same ``__g`` merged, in two levels, so that no task meets those of all tasks for one group.
+
+    First within (group, one of ``ways`` sets of tasks), then within the group. Each partition streams through its sorted keys.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name: str | None = None
@@ -214,15 +270,18 @@ def _merged(partial: DataFrame) -> DataFrame:
                     name, s, raw = g, None, data
                 else:
                     if s is None:
-                        s = Sketch.load(raw)
-                    s.merge(Sketch.load(data))
+                        s = load(raw)
+                    s.merge(load(data))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["__g", "n", "sketch"])
         if name is not None:
             n, data = _done(s, raw)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["__g", "n", "sketch"])
 
-    return partial.repartition("__g").sortWithinPartitions("__g").mapInArrow(merge, "__g string, n long, sketch binary")
+    kind = "__g string, n long, sketch binary"
+    salted = partial.withColumn("__s", F.pmod(F.spark_partition_id(), F.lit(ways)))
+    first = salted.repartition("__g", "__s").sortWithinPartitions("__g").select("__g", "n", "sketch").mapInArrow(merge, kind)
+    return first.repartition("__g").sortWithinPartitions("__g").mapInArrow(merge, kind)
 
 
 def _done(s: Sketch | None, raw: bytes) -> tuple[int, bytes]:
@@ -243,17 +302,24 @@ def quantile_columns(df: DataFrame, probs: dict[str, float]) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def ask(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: Sketch.load(x).quantiles(ps))
+        return s.map(lambda x: load(x).quantiles(ps))
 
     return df.withColumn("__q", ask("sketch")).select(*[c for c in df.columns], *[F.col("__q")[i].alias(c) for i, c in enumerate(names)])
 
 
+def error_columns(df: DataFrame, probs: dict[str, float], k: int = DEFAULT_K, high: bool | None = None, deviations: float = 3.0) -> DataFrame:
+    """``df`` (with ``n``) with ``<name>_error`` for each probability: the bound on its rank, 0 where the group is held exactly."""
+    exact = F.col("n") <= capacity(k)
+    tail = {c: min(p, 1 - p) if high is None else 1 - p if high else p for c, p in probs.items()}
+    return df.select("*", *[F.when(exact, F.lit(0.0)).otherwise(F.lit(rank_error(k, deviations, t))).alias(f"{c}_error") for c, t in tail.items()])
+
+
 def shares(sketch: Column, x: Column) -> Column:
     """Struct of the shares of a sketch's values at or below ``x`` and strictly below it (null for a null ``x``)."""
 
     @F.pandas_udf("at_or_below double, below double")
     def ask(s: pd.Series, v: pd.Series) -> pd.DataFrame:
-        out = [(None, None) if pd.isna(y) else ((k := Sketch.load(z)).share(y), k.share(y, False)) for z, y in zip(s, v, strict=True)]
+        out = [(None, None) if pd.isna(y) else ((k := load(z)).share(y), k.share(y, False)) for z, y in zip(s, v, strict=True)]
         return pd.DataFrame(out, columns=["at_or_below", "below"], dtype="float64")
 
     return ask(sketch, x)

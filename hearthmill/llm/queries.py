@@ -75,15 +75,27 @@ SELECT source, CAST(strftime(date_trunc('month', scraped_at), '%Y%m%d') AS INTEG
 )
 def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per feed, month and county as written; groups up to ``quantiles.capacity()`` rows are exact."""
-    s = quantiles.sketches(_priced(spark, sf), ["source", "date_key", "county"], "price")
+    s = quantiles.sketches(_priced(spark, sf), ["source", "date_key", "county"], "price", high=None)
     return quantiles.quantile_columns(s, _PERCENTILES).drop("sketch")
 
 
-@_query("p2_rollup")
+@_query(
+    "p2_rollup",
+    "SELECT county, count(*) AS n, " + ", ".join(f"TRUE AS {c}_within" for c in _PERCENTILES) + " FROM raw_daft_listings WHERE price IS NOT NULL GROUP BY 1",
+)
 def p2_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles per feed, from the merged sketches of its months and counties: no row is read for it again."""
-    s = quantiles.sketches(_priced(spark, sf), ["source", "date_key", "county"], "price")
-    return quantiles.quantile_columns(quantiles.merge_sketches(s, ["source"]), _PERCENTILES).drop("sketch")
+    """Percentiles of a county over all feeds and months, from their merged sketches, each held against an exact count: is its rank within its stated bound?"""
+    rows = _priced(spark, sf)
+    merged = quantiles.merge_sketches(quantiles.sketches(rows, ["source", "date_key", "county"], "price", high=None), ["county"])
+    got = quantiles.error_columns(quantiles.quantile_columns(merged, _PERCENTILES).drop("sketch"), _PERCENTILES)
+    q = materialize(got, "rollup")
+    price = F.col("price").cast("double")
+    counts = [x for c in _PERCENTILES for x in (F.count_if(price <= F.col(c)).alias(f"{c}_le"), F.count_if(price < F.col(c)).alias(f"{c}_lt"))]
+    joined = rows.select(F.col("county").alias("at"), "price").join(q, F.col("at").eqNullSafe(F.col("county")))
+    exact = joined.groupBy("county", "n", *[f"{c}_error" for c in _PERCENTILES]).agg(*counts)
+    # the exact ranks of a value reach from the share below it to the share at or below it
+    within = [((F.col(f"{c}_lt") / F.col("n") <= p + F.col(f"{c}_error")) & (F.col(f"{c}_le") / F.col("n") >= p - F.col(f"{c}_error"))).alias(f"{c}_within") for c, p in _PERCENTILES.items()]
+    return exact.select("county", "n", *within)
 
 
 # --- 3: new batches against all history -------------------------------------------------------

@@ -98,3 +98,34 @@ def test_suspects_agree_with_exact_counts(spark):
     got, e = Q.percentile_suspects(stated, Q.sketches(df, ["g"], "v"), ["g"], "m")
     by = {r.k: r.sure for r in got.collect()}
     assert by[2] and by[5] and by[3] is False and 1 not in by and 4 not in by and 6 not in by and 0 < e < 0.05
+
+
+def test_two_tails_are_each_protected():
+    r = np.random.default_rng(4)
+    v = r.lognormal(7, 1, 200_000)
+    both = Q.TwoTails(32)
+    for part in np.array_split(v, 50):
+        x = Q.TwoTails(32, salt=len(part))
+        x.update(part)
+        both.merge(Q.load(x.dump()))
+    order = np.sort(v)
+    for p in (0.0005, 0.01, 0.1, 0.5, 0.9, 0.99, 0.9995):
+        (q,) = both.quantiles([p])
+        rank = np.searchsorted(order, q, side="right") / len(v)
+        assert abs(rank - p) <= Q.rank_error(32, 3.0, min(p, 1 - p)), p
+    assert Q.load(both.dump()).n == len(v) and Q.rank_error(tail=0.01) < Q.rank_error(tail=0.1) < Q.rank_error()
+
+
+def test_salted_coins_differ_on_equal_days():
+    day = np.arange(5000.0)
+    a, b = Q.Sketch(16, salt=1), Q.Sketch(16, salt=2)
+    a.update(day)
+    b.update(day)
+    assert a.dump() != b.dump()
+
+
+def test_a_hot_group_is_merged_in_two_levels(spark):
+    df = spark.range(0, 40_000, 1, 16).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), F.col("id").cast("double").alias("v"))
+    s = Q.sketches(df, ["g"], "v", high=None)
+    got = {x.g: x for x in Q.error_columns(Q.quantile_columns(s, {"p50": 0.5}), {"p50": 0.5}).collect()}
+    assert got["hot"].n == 13_334 and abs(got["hot"].p50 / 40_000 - 0.5) <= got["hot"].p50_error and sum(x.n for x in got.values()) == 40_000
