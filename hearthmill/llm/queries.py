@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthmill.llm import contamination, linkage, mapping, mixing, pagestyle, quantiles
+from hearthmill.operators.relational import small
 from hearthmill.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +166,12 @@ def p3_links(spark: SparkSession, sf: str) -> DataFrame:
 # --- 5: free-entered values -------------------------------------------------------------------
 
 
+# fixed values: words in names of places
+_RULES = mapping.PlaceRules(dropped=("ireland", "eire"))
+#: bytes of mapped values up to which they are broadcast
+_BROADCAST_BYTES = 8_000_000
+
+
 def _typed_places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(rows, mapping): the typed values of both tables, and the entry of each distinct one."""
     ref = table(spark, sf, "ref_location")
@@ -172,14 +179,15 @@ def _typed_places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     cso = table(spark, sf, "raw_cso_rent").select(F.lit("cso").alias("src"), "id", F.col("location_label").alias("value"), F.lit(False).alias("county_only"))
     rows = daft.unionByName(cso).where("trim(value) <> ''")
     exact = ref.select(F.col("canonical_name").alias("value")).distinct()
-    rows = rows.join(F.broadcast(exact), "value", "left_anti")  # 190 entries, fixed
-    return rows, materialize(mapping.map_places(rows, ref), "places")
+    rows = rows.join(small(exact, 10_000), "value", "left_anti")
+    return rows, materialize(mapping.map_places(rows, ref, _RULES), "places")
 
 
 @_query("p5_found")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows, places = _typed_places(spark, sf)
-    if places.count() <= 100_000:  # else Spark joins by value and splits the hot ones
+    places = places.select("src", "value", "location_id")
+    if places.agg(F.coalesce(F.sum(F.octet_length("value") + 32), F.lit(0)).alias("n")).first().n <= _BROADCAST_BYTES:  # else Spark joins by value and splits the hot ones
         places = F.broadcast(places)
     return rows.join(places, ["src", "value"]).select("src", "id", "location_id")
 
