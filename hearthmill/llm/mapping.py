@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hearthmill.operators.relational import small
+from hearthmill.session import materialize
 
 _ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
@@ -121,7 +122,8 @@ def map_places(values: DataFrame, reference: DataFrame, rules: PlaceRules, thres
     meant. ``reference`` (location_id, canonical_name, kind). The best entry has the greatest
     similarity, at least ``threshold``; ties go to the fewer edits, then to the smaller id. Values without a letter map to nothing.
     """
-    v = values.select("src", "value", "county_only").distinct().withColumn("segs", place_segments(F.col("value"), rules))
+    v = materialize(values.select("src", "value", "county_only").distinct(), "values")  # read several times by the join
+    v = v.withColumn("segs", place_segments(F.col("value"), rules))
     s = v.select("src", "value", "county_only", F.posexplode("segs").alias("pos", "seg")).select(
         "src", "value", "county_only", "pos", F.when(F.col("county_only"), F.col("seg.bare")).otherwise(F.col("seg.text")).alias("text"), "seg.is_county"
     )
