@@ -7,7 +7,7 @@ attributes that changed. Validity rows
 come from folding patches forward from the nearest checkpoint.
 
 An entity's rows are never brought to one task as a whole: an entity with more
-rows than ``chunk_rows`` is cut into chunks of time, and only one row for each
+rows than ``chunk_rows`` is cut into chunks of that many rows in order of time, and only one row for each
 chunk (its checkpoint and final state) meets the other chunks of the entity.
 """
 
@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hearthmill.operators.relational import numbered, small
+from hearthmill.session import materialize
+
 
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
@@ -41,16 +44,20 @@ def observed(df: DataFrame, entity: str, at: str, order: str, attributes: list[s
 
 
 def chunked(seen: DataFrame, chunk_rows: int = 100_000) -> DataFrame:
-    """``seen`` with ``chunk``: 0 for most entities; for those above ``chunk_rows`` rows, a number that grows with time."""
-    seconds = F.col("at").cast("timestamp").cast("double")
-    stats = seen.groupBy("entity").agg(F.count("*").alias("n"), F.min(seconds).alias("t0"), F.max(seconds).alias("t1")).where(F.col("n") > chunk_rows)
-    stats = stats.select("entity", "t0", ((F.col("t1") - F.col("t0")) / F.ceil(F.col("n") / chunk_rows)).alias("step"))
-    # at most rows / chunk_rows entities are that large; Spark broadcasts them when their measured size allows
-    return (
-        seen.join(stats, "entity", "left")
-        .withColumn("chunk", F.coalesce(F.floor((seconds - F.col("t0")) / F.when(F.col("step") > 0, F.col("step"))), F.lit(0)).cast("long"))
-        .drop("t0", "step")
-    )
+    """``seen`` with ``chunk``: 0 for most entities; for those above ``chunk_rows`` rows, a number that grows with time.
+
+    Chunks are cut by rank, so none holds more than ``chunk_rows`` rows however the moments crowd. The rows are
+    written out first, so that a task that is run again sees the same ranks.
+    """
+    seen = materialize(seen, "seen")
+    hot = materialize(seen.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).select("entity"), "hot")  # at most rows / chunk_rows
+    if hot.isEmpty():
+        return seen.withColumn("chunk", F.lit(0).cast("long"))
+    hot = small(hot)
+    many = numbered(seen.join(hot, "entity", "left_semi"), [F.col("entity"), F.col("at")], "__no", bucket_rows=chunk_rows)
+    first = many.groupBy("entity").agg(F.min("__no").alias("__first"))
+    many = many.join(small(first), "entity").withColumn("chunk", F.floor((F.col("__no") - F.col("__first")) / chunk_rows).cast("long"))
+    return seen.join(hot, "entity", "left_anti").withColumn("chunk", F.lit(0).cast("long")).unionByName(many.drop("__no", "__first"))
 
 
 def store(df: DataFrame, entity: str, at: str, order: str, attributes: list[str], chunk_rows: int = 100_000, every: int = 8) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from hearthmill.operators import history, packed
 from tests.conftest import rows
 
@@ -121,3 +123,15 @@ def test_checkpoints_within_one_chunk(spark):
     late = s.where("opening >= 16")  # what lies before the nearest checkpoint is not needed
     now = history.as_of(late, history.F.lit(T0 + timedelta(days=31, hours=2)).cast("timestamp_ntz"), ["p", "q"]).first()
     assert (now.opening, now.p, now.q) == (30, 15, "y")
+
+
+def test_a_burst_is_cut_by_rank(spark):
+    """20,000 moments within a second, one a year later, and two small entities: no chunk above its bound, and the same versions."""
+    burst = spark.range(20_000).select(F.lit("hot").alias("e"), F.timestamp_micros(F.col("id") * 40).alias("at"), "id", (F.col("id") / 7).cast("int").alias("v"))
+    late = spark.createDataFrame([("hot", datetime(1971, 1, 1), 20_000, -1), ("a", T0, 1, 5), ("b", T0, 2, None)], "e string, at timestamp, id long, v int")
+    df = burst.unionByName(late)
+    cut = history.chunked(history.observed(df, "e", "at", "id", ["v"]), 1000)
+    sizes = cut.groupBy("entity", "chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 1000 and sum(r["count"] for r in sizes) == 20_002
+    hot = [r for r in history.history(df, "e", "at", "id", ["v"], 1000).collect() if r.e == "hot"]
+    assert len(hot) == 20_000 // 7 + 2 and sorted(r.version_no for r in hot) == list(range(1, len(hot) + 1)) and max(r.valid_from for r in hot) == datetime(1971, 1, 1)
