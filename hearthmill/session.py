@@ -9,12 +9,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPING = threading.Lock()
+
 
 def build_session(app: str = "hearthmill", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
@@ -41,19 +44,22 @@ def ship(spark: SparkSession) -> None:
 
     Python workers import it to run the Arrow functions; they need not have it installed or on
     their path. The archive lies in the driver's temporary folder only until Spark has taken it.
+    Models are built in several threads: one ships while the others wait, since Spark takes a
+    file name from one path only.
     """
     sc = spark.sparkContext
-    if getattr(sc, "_hearthmill_shipped", None) == sc.applicationId:
-        return
-    package = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="hearthmill-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = Path(folder) / "hearthmill_code.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    sc._hearthmill_shipped = sc.applicationId
+    with _SHIPPING:
+        if getattr(sc, "_hearthmill_shipped", None) == sc.applicationId:
+            return
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="hearthmill-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / "hearthmill_code.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        sc._hearthmill_shipped = sc.applicationId
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import json
 import math
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthmill.plans import data_tests, loaders, runner, snapshot, strategies
 from hearthmill.plans.registry import Registry, model_name, row_counts
 from hearthmill.queries.maintenance import market_models
+from hearthmill.session import ship
 from tests.conftest import rows
 
 
@@ -129,6 +133,24 @@ def test_models_build_in_order(spark, store, data):
     assert row_counts(store).count() == 5
 
 
+def test_models_in_threads_ship_once():
+    """Spark takes a file name from one path only; the first models of a run read their sources at the same time."""
+    sent = []
+
+    def add(path):
+        time.sleep(0.05)
+        sent.append(path)
+        if len(set(sent)) > 1:
+            raise ValueError("already registered with a different path")
+
+    for app in ("app-1", "app-2"):
+        sent.clear()
+        spark = SimpleNamespace(sparkContext=SimpleNamespace(applicationId=app, addPyFile=add))
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda _, s=spark: ship(s), range(4)))
+        assert len(sent) == 1
+
+
 def test_registry_errors(spark, store):
     r = Registry(store, {})
 
